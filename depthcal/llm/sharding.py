@@ -29,13 +29,13 @@ _PEEL = """aggregate(
 
 _CAPACITY = """aggregate(
   sequence(1, 63),
-  named_struct('lo', greatest(array_max(sizes), cast(ceil(rest / left_over) as bigint), 0L), 'hi', greatest(rest, 0L)),
+  named_struct('lo', greatest(array_max(sizes), cast(ceil(p.rest / p.left) as bigint), 0L), 'hi', greatest(p.rest, 0L)),
   (s, i) -> if(s.lo >= s.hi, s,
     if(aggregate(sizes, named_struct('n', 1, 'fill', 0L),
          (g, x) -> if(g.fill + x <= (s.lo + s.hi) div 2,
                       named_struct('n', g.n, 'fill', g.fill + x),
                       named_struct('n', g.n + 1, 'fill', x)),
-         g -> g.n) <= left_over,
+         g -> g.n) <= p.left,
        named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2),
        named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi))),
   s -> s.hi)"""
@@ -49,22 +49,30 @@ _STARTS = """aggregate(
   g -> g.starts)"""
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """Bind ``value`` to a lambda variable: a column named in a lambda may be evaluated again for each element."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def minimax_cuts(sizes: DataFrame, n_shards: int) -> DataFrame:
     """``sizes``: (grp, size), a bounded number of rows. Returns (grp, shard) by the minimax contiguous partition."""
     one = sizes.agg(F.sort_array(F.collect_list(F.struct("grp", "size"))).alias("all"))
-    one = one.select("all", F.expr("aggregate(all, 0L, (a, x) -> a + x.size)").alias("total"),
-                     F.expr("sort_array(transform(all, x -> named_struct('size', x.size, 'grp', -x.grp)), false)").alias("by_size"))
-    one = one.select("all", "by_size", F.expr(_PEEL.format(k=n_shards)).alias("p"))
-    one = one.select(F.expr("transform(slice(by_size, 1, p.n), x -> -x.grp)").alias("heavy"), "all", "p")
-    one = one.select("heavy", F.expr("filter(all, x -> not array_contains(heavy, x.grp))").alias("light"),
-                     F.col("p.rest").alias("rest"), F.col("p.left").alias("left_over"))
-    one = one.withColumn("sizes", F.expr("transform(light, x -> x.size)"))
-    one = one.withColumn("capacity", F.expr(_CAPACITY))
-    one = one.withColumn("starts", F.expr(_STARTS))
-    placed = F.expr("""concat(
+    body = """concat(
       transform(heavy, (g, i) -> named_struct('grp', g, 'shard', i)),
-      transform(light, (x, i) -> named_struct('grp', x.grp, 'shard', size(heavy) + size(filter(starts, s -> s <= i)))))""")
-    return one.select(F.explode(placed).alias("x")).select("x.grp", F.col("x.shard").cast("int").alias("shard"))
+      transform(light, (x, i) -> named_struct('grp', x.grp, 'shard', size(heavy) + size(filter(starts, s -> s <= i)))))"""
+    for name, value in (
+        ("starts", _STARTS),
+        ("capacity", _CAPACITY),
+        ("sizes", "transform(light, x -> x.size)"),
+        ("light", "filter(all, x -> not array_contains(heavy, x.grp))"),
+        ("heavy", "transform(slice(by_size, 1, p.n), x -> -x.grp)"),
+        ("p", _PEEL.format(k=n_shards)),
+        ("by_size", "sort_array(transform(all, x -> named_struct('size', x.size, 'grp', -x.grp)), false)"),
+        ("total", "aggregate(all, 0L, (a, x) -> a + x.size)"),
+    ):
+        body = _let(name, value, body)
+    placed = one.select(F.explode(F.expr(body)).alias("x"))
+    return placed.select("x.grp", F.col("x.shard").cast("int").alias("shard"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, n_groups: int = 16384) -> DataFrame:
