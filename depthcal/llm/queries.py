@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import byte_bpe, near_dedup, quality_rules, sharding, token_files, warc
 
 QUERIES = {
+    "op1_ngram_llr_rules": quality_rules.query,
+    "op3_ranked_token_files": token_files.query,
     "op4_minimax_shards": sharding.query,
+    "op5_byte_bpe": byte_bpe.query,
+    "op6_warc": warc.query,
+    "op8_setsketch_dedup": near_dedup.query,
 }
 
 SQL: dict[str, str] = {}
