@@ -112,5 +112,17 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
 
 
+#: Ids (8 bytes each) that may be broadcast to pick documents; beyond it the join shuffles, with Spark's own bloom filter.
+BROADCAST_IDS = 4_000_000
+
+
+def pick(docs: DataFrame, ids: DataFrame, count: int | None = None) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among the distinct ``id`` of ``ids``. Texts aren't shuffled up to the bound."""
+    small = (ids.count() if count is None else count) <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs.doc_id == ids.id, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Long texts: small Arrow batches keep the workers' memory bounded.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

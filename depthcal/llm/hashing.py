@@ -33,18 +33,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _BYTES = np.arange(256)
 _WORD = ~np.isin(_BYTES, [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-_VALUES = mix((np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES) + 1).astype(np.uint64) * _GOLD)
+_EXACT = mix((_BYTES + 1).astype(np.uint64) * _GOLD)
+_VALUES = _EXACT[np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)]
 _POWERS = [_powers(_BASE, CHUNK_BYTES + 1), _powers(_INVERSE, CHUNK_BYTES + 1)]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of the words, words of each text) of texts that lie in ``data`` between ``bounds``; A-Z lower-cased.
+    """(64-bit hashes of the words, words of each text) of texts that lie in ``data`` between ``bounds``; A-Z lower-cased."""
+    starts, ends, counts = word_spans(data, bounds)
+    return span_hashes(data, starts, ends), counts
+
 
-    A word's hash is a polynomial of its bytes modulo 2**64, read off one running sum, and mixed.
-    """
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the words of each text."""
     n = len(data)
-    while len(_POWERS[0]) <= n:
-        _POWERS[:] = [_powers(_BASE, 2 * n + 2), _powers(_INVERSE, 2 * n + 2)]
     inside = np.empty(n + 1, bool)
     inside[:n], inside[n] = _WORD[data], False
     before = np.empty(n + 1, bool)
@@ -53,12 +61,18 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     cut[bounds] = True
     starts = np.flatnonzero(inside & (~before | cut))
     ends = np.flatnonzero(before & (~inside | cut))
+    return starts, ends, np.diff(np.searchsorted(starts, bounds))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of spans: a polynomial of the bytes modulo 2**64, read off one running sum, and mixed."""
+    n = len(data)
+    while len(_POWERS[0]) <= n:
+        _POWERS[:] = [_powers(_BASE, 2 * n + 2), _powers(_INVERSE, 2 * n + 2)]
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_VALUES[data] * _POWERS[0][:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64) * _GOLD)
-    counts = np.diff(np.searchsorted(starts, bounds))
-    return hashes, counts
+    np.cumsum((_VALUES if fold else _EXACT)[data] * _POWERS[0][:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64) * _GOLD)
 
 
 def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,7 +107,7 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray, k: int = 5) -> list[np.
     out = []
     for end, c in zip(ends.tolist(), counts.tolist(), strict=True):
         if c >= k:
-            out.append(np.unique(rolled[end - c:end - k + 1]))
+            out.append(distinct(rolled[end - c:end - k + 1]))
         elif c:
             one = (hashes[end - c:end] * _MULTIPLIERS[:c]).sum(dtype=np.uint64)
             out.append(mix(np.array([one + np.uint64(c)], np.uint64)))

@@ -3,8 +3,9 @@
 A document's set is its distinct five-word shingles. Equal sets are first merged into one node, so copies cost nothing
 further. Each node's set is sketched by exponentially spaced truncated minima (registers ``floor(1 - log_b x)`` of the
 least of exponential variates); sketches merge by maximum. Bands of registers name buckets. In each bucket the hub (the
-node whose buckets are largest) is paired with the other members; only members that are still in different components
-afterwards are paired with each other, so a group of m near copies costs about m pairs. Each pair's Jaccard similarity
+node whose buckets are largest) is paired with the other members, so a group of m near copies costs about m pairs.
+Members that are still in different components afterwards are paired by the rarest shingles of their full sets, an
+exact bound. Each pair's Jaccard similarity
 is first estimated from the registers by maximum likelihood, with a margin of over five deviations, and then confirmed
 on the full sets. Components are found by label propagation with pointer jumping over tables in the shared folder.
 
@@ -18,9 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, pick, table
 from .hashing import mix, shingle_sets, text_chunks, word_hashes
 
 SHINGLE = 5
@@ -119,7 +121,7 @@ def _likely(least: float):
                 sig = lambda k: np.array([np.frombuffer(x, np.uint16) for x in batch.column(k).to_pylist()])
                 size = lambda k: batch.column(k).to_numpy(zero_copy_only=False).astype(float)
                 ok = estimate(sig(4), sig(5), size(2), size(3)) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -145,6 +147,38 @@ def _confirm(percent: int):
     return run
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        for i, j, data, bounds in text_chunks(batch.column(1)):
+            sets = shingle_sets(*word_hashes(data, bounds), SHINGLE)
+            sizes = [len(s) for s in sets]
+            ids = np.repeat(batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False), sizes)
+            marks = np.repeat(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64), sizes)
+            n = np.repeat(np.array(sizes, np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks), pa.array(n), pa.array(np.concatenate(sets).view(np.int64))],
+                                             ["id", "mark", "n", "s"])
+
+
+def _rare_pairs(docs: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that can be similar, among the open (id, comp).
+
+    Sets that share at least ``percent`` have a common shingle among the rarest ``n - ceil(percent * n / 100) + 1`` of
+    each, in any one order of all shingles; with the rarest first, members of a large group that differ in many places
+    meet nobody. The bound is exact, so no link is lost.
+    """
+    rows = pick(docs, open_.select("id").distinct()).select("doc_id", "text").mapInArrow(_shingle_rows, "id long, mark long, n long, s long")
+    rows = materialize(rows, "near-shingles")
+    common = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
+    met = rows.join(common, "s")
+    each = W.partitionBy("id", "mark")
+    met = met.withColumn("slots", F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - (F.col("n") - F.count("*").over(each)))
+    met = met.where("slots > 0").withColumn("r", F.row_number().over(each.orderBy("c", "s"))).where("r <= slots").select("id", "n", "s")
+    met = materialize(met.join(open_, "id"), "near-prefixes")
+    both = met.toDF("a", "n_a", "s", "comp_a").join(met.toDF("b", "n_b", "s", "comp_b"), "s")
+    both = both.where("a < b and comp_a <> comp_b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return both.select("a", "b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) of all ends of (a, b): comp is the smallest id that can be reached."""
     both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a"))
@@ -168,9 +202,8 @@ def _link_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: in
     both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     likely = both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long")
     likely = materialize(likely, f"{name}-likely")
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi").select("doc_id", "text")
-    sets = materialize(texts.mapInArrow(_sets, "id long, set binary"), f"{name}-sets")
+    wanted = materialize(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), f"{name}-wanted")
+    sets = materialize(pick(docs, wanted).select("doc_id", "text").mapInArrow(_sets, "id long, set binary"), f"{name}-sets")
     full = likely.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
     return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), f"{name}-links")
 
@@ -196,13 +229,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = _link_pairs(pairs, nodes, docs, percent, "near-first")
     found = components(links)
 
-    # Buckets in which not all members are in one component yet: the rest of their pairs.
+    # Buckets in which not all members are in one component yet: their other pairs.
     placed = shared.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(placed.join(split, "key"), "near-open")
-    left, right = open_.toDF("key", "a", "comp_a"), open_.toDF("key", "b", "comp_b")
-    tried = materialize(pairs, "near-tried")
-    rest = left.join(right, "key").where("a < b and comp_a <> comp_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    open_ = materialize(placed.join(split, "key").select("id", "comp").distinct(), "near-open")
+    rest = _rare_pairs(docs, open_, percent).join(materialize(pairs, "near-tried"), ["a", "b"], "left_anti")
     more = _link_pairs(materialize(rest, "near-rest"), nodes, docs, percent, "near-second")
     if not more.isEmpty():
         found = components(links.union(more))
