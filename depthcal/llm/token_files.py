@@ -16,21 +16,21 @@ columns are ignored by name.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, new_path, open_uri, rename_uri, table
+from .common import materialize, new_path, open_uri, rename_uri, table
+from .hashing import distinct, mix, span_hashes, text_chunks, word_spans
 
 MAGIC = b"FRVB0001"
 END_ID = 1
 #: Text bytes that go to one file, and words whose ids a worker remembers (a cache only; then it starts afresh).
 FILE_BYTES = 32 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_500_000
 #: Control bytes decoded at once.
 _BLOCK = 1 << 18
 
@@ -102,7 +102,8 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words; each distinct
-    word is encoded once as long as the worker remembers it.
+    word is encoded once as long as the worker remembers it. Words are found by a 64-bit hash, their length and their
+    first eight bytes together.
     """
 
     def __init__(self, path: str):
@@ -110,22 +111,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [_WORD.findall(x) if x else [] for x in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        missing = list(set().union(*split).difference(self.known))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i:i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
-        get = self.known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, words)), (END_ID,)), np.uint32) for words in split]
-
-
-_WORD = re.compile(WORD)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, column) -> Iterator[list[np.ndarray]]:
+        """The ids of each text of an Arrow column, in lists as long as the runs of texts worked on."""
+        for _, _, data, bounds in text_chunks(column):
+            starts, ends, counts = word_spans(data, bounds)
+            hashes = span_hashes(data, starts, ends, fold=False)
+            padded = np.concatenate([data, np.zeros(8, np.uint8)])
+            heads = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))[starts]
+            length = ends - starts
+            short = length < 8
+            heads[short] &= (np.uint64(1) << (length[short] * 8).astype(np.uint64)) - np.uint64(1)
+            marks = mix(heads + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            self._learn(data, starts, ends, hashes, marks)
+            where = self._find(hashes, marks)
+            at, sizes, pool = self.at[where], self.size[where], self.pool
+            for i in np.flatnonzero(where < 0):  # another word has its hash
+                own = self.tokenizer.encode(data[starts[i]:ends[i]].tobytes().decode(), add_special_tokens=False).ids
+                at[i], sizes[i], pool = len(pool), len(own), np.append(pool, np.array(own, np.uint32))
+            ids = pool[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+            yield [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _find(self, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Places in the memory, -1 where a word isn't known."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        few = distinct(hashes)
+        place = np.searchsorted(self.keys, few)[np.searchsorted(few, hashes)]
+        place[place == len(self.keys)] = 0
+        return np.where((self.keys[place] == hashes) & (self.marks[place] == marks), place, -1)
+
+    def _learn(self, data, starts, ends, hashes, marks) -> None:
+        missing = np.flatnonzero(self._find(hashes, marks) < 0)
+        if len(self.keys) + len(missing) > CACHED_WORDS:
+            self._forget()
+            missing = np.arange(len(hashes))
+        keys, first = np.unique(hashes[missing], return_index=True)
+        if not len(keys):
+            return
+        new = missing[first]
+        raw = data.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+        flat, owner = [], []
+        groups = [words[i:i + 64] for i in range(0, len(words), 64)]
+        for i, e in enumerate(self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
+            flat.append(np.array(e.ids, np.uint32))
+            owner.append(np.array(e.word_ids, np.int64) + 64 * i)
+        sizes = np.bincount(np.concatenate(owner).astype(np.int64), minlength=len(words))
+        at = len(self.pool) + np.cumsum(sizes) - sizes
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.marks = np.insert(self.keys, place, keys), np.insert(self.marks, place, marks[new])
+        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, sizes)
+        self.pool = np.concatenate([self.pool, *flat])
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -154,7 +199,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, file_bytes: int = FILE_BY
         doc_ids, ids = [], []
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
-            ids += enc.encode(batch.column(1).to_pylist())
+            for part in enc.encode(batch.column(1)):
+                ids += part
         if not doc_ids:
             return
         lengths = np.array([len(x) for x in ids])
