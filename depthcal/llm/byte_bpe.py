@@ -147,10 +147,15 @@ class ByteBpe:
         return let(self.little_endian, lambda le: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(le, i)), "")))
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def production(path: str | None = None) -> ByteBpe:
+    """The codec of the public 50k rank file, or of another rank file with the same pattern."""
     import public_tokenizers
 
-    bpe = ByteBpe(read_ranks(tokenizer_file("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return ByteBpe(read_ranks(path or tokenizer_file("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    bpe = production()
     docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.as_bytes(F.col("ids")), 256).alias("ids_sha256"),
                        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))

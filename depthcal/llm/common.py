@@ -116,10 +116,14 @@ def words_of(text: Column) -> Column:
 BROADCAST_IDS = 4_000_000
 
 
-def pick(docs: DataFrame, ids: DataFrame, count: int | None = None) -> DataFrame:
+def broadcast_ids(ids: DataFrame) -> DataFrame:
+    """Ids with a broadcast hint where their number is within the bound."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among the distinct ``id`` of ``ids``. Texts aren't shuffled up to the bound."""
-    small = (ids.count() if count is None else count) <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, docs.doc_id == ids.id, "left_semi")
+    return docs.join(broadcast_ids(ids), docs.doc_id == ids.id, "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, table
+from .common import broadcast_ids, materialize, pick, table
 from .hashing import mix, shingle_sets, text_chunks, word_hashes
 
 SHINGLE = 5
@@ -247,5 +247,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
                       F.coalesce(linked == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each group, with all its columns; of rows that share a doc_id the least by all columns."""
+    found = near_duplicates(docs, percent)
+    dropped = materialize(found.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "near-dropped")
+    out = docs.join(broadcast_ids(dropped), docs.doc_id == dropped.id, "left_anti")
+    twice = out.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select(F.col("doc_id").alias("id"))
+    twice = materialize(twice, "near-twice")
+    if twice.isEmpty():
+        return out
+    rest = out.join(broadcast_ids(twice), out.doc_id == twice.id, "left_anti")
+    one = out.join(broadcast_ids(twice), out.doc_id == twice.id, "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rest.unionByName(one.select("row.*"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

@@ -97,19 +97,28 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     return packed.select(F.expr(f"transform(c, x -> if(n_good = 0, 0D, {ratio}))").alias("lr"))
 
 
-def score_documents(docs: DataFrame, trusted_ids: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The base counts, base_failed, the ratio and the verdict ``kept`` of every document, with the columns ``keep``."""
-    spark = docs.sparkSession
+def score_documents(docs: DataFrame, trusted_ids: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The base counts, base_failed, the ratio and the verdict ``kept`` of every document, with the columns ``keep``.
+
+    ``prefix`` goes before the new columns' names, so that they don't clash with those kept.
+    """
     lr = log_ratios(docs.select("doc_id", "text"), trusted_ids)
-    extra = [c for c in keep or [] if c not in ("doc_id",)]
+    extra = [c for c in keep or [] if c != "doc_id"]
     held = docs.select("doc_id", *extra, F.col("text").alias("_text"), words_of(F.col("text")).alias("_words"), lr.scalar().alias("_lr"))
     cols = base_columns(F.col("_text"), F.col("_words"))
     mean = let(F.col("_lr"), lambda table: let(buckets_of(F.col("_text")), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(
         F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(g))))
-    out = held.select("doc_id", *extra, *[c.alias(k) for k, c in cols.items()], mean.alias("llr"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD))
+    out = held.select("doc_id", *extra, *[c.alias(prefix + k) for k, c in cols.items()], mean.alias(f"{prefix}llr"))
+    n_words = F.col(f"{prefix}n_words")
+    failed = (n_words < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PCT * n_words)
+    out = out.withColumn(f"{prefix}base_failed", failed)
+    return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}llr") >= THRESHOLD))
+
+
+def filter_rules(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns."""
+    scored = score_documents(docs, trusted_ids, docs.columns, "__rule_")
+    return scored.where("__rule_kept").select(*docs.columns)
 
 
 def trusted(labels: DataFrame) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, near_dedup, quality_rules, sharding, token_files, warc
+from . import byte_bpe, decontaminate, language_id, near_dedup, ngram_lm, quality_classifier, quality_rules, sharding, token_files, warc
 
 QUERIES = {
     "op1_ngram_llr_rules": quality_rules.query,
+    "op2_cgk_decontamination": decontaminate.query,
     "op3_ranked_token_files": token_files.query,
     "op4_minimax_shards": sharding.query,
     "op5_byte_bpe": byte_bpe.query,
     "op6_warc": warc.query,
+    "op7_family_svm": language_id.query,
     "op8_setsketch_dedup": near_dedup.query,
+    "op9_cotraining": quality_classifier.query,
+    "op10_elias_fano_lm": ngram_lm.query,
 }
 
 SQL: dict[str, str] = {}
