@@ -137,7 +137,7 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel |
 
 def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred and score of the column text."""
-    rows = docs.select("text", *keep)
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     ascii_letter = np.zeros(256, bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
 

@@ -357,7 +357,7 @@ def train(texts: DataFrame) -> NgramModel:
 
 def score_texts(docs: DataFrame, model: NgramModel, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with n_tokens, n_known, train_tokens, base_score and score of the column text."""
-    rows = docs.select("text", *keep)
+    rows = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     k = len(keep)
 
     def run(batches):

@@ -137,8 +137,8 @@ def _views(batch, at: int):
 def _shape(docs: DataFrame, keep: list[str]) -> DataFrame:
     missing = {c: F.lit(None) for c in _COLUMNS if c not in docs.columns}
     docs = docs.withColumns(missing) if missing else docs
-    return docs.select(*keep, F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("_source"),
-                       F.col("lang").cast("string").alias("_lang"), F.col("n_chars").cast("double").alias("_n_chars"))
+    return docs.select(*keep, F.col("text").cast("string").alias("__text"), F.col("source").cast("string").alias("__source"),
+                       F.col("lang").cast("string").alias("__lang"), F.col("n_chars").cast("double").alias("__n_chars"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> QualityModel:
