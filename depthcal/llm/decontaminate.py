@@ -30,7 +30,7 @@ from .hashing import distinct, mix, text_chunks, word_hashes
 EDITS = 0.1
 RECALL = 0.99
 #: Emitted positions are taken every STEP steps of the walk; a key hashes WIDTH of them, a walk gives TABLES keys a size.
-STEP, WIDTH, TABLES = 4, 4, 3
+STEP, WIDTH, TABLES = 4, 2, 3
 MAX_WALKS = 8
 BLOCK_ITEMS = 20_000
 _FILTER_BITS, _OWN_BITS = 20, 24
@@ -42,12 +42,16 @@ def size_class(n: int) -> int:
 
 
 def _emitted(symbols: np.ndarray, walk: int, points: int) -> np.ndarray:
-    """The word hash emitted every STEP steps of the walk from each position; the last symbol stands for the end."""
+    """The word hash emitted every STEP steps of the walk from each position; the last symbol stands for the end.
+
+    The bits repeat every STEP steps, so the way of STEP steps is one map that is applied again and again. Its last bit
+    is always set: otherwise a word with no bit set would hold the walk for good.
+    """
     n = len(symbols)
     bits = mix(symbols + np.uint64((walk + 1) * 0x9E3779B97F4A7C15 % 2**64))
     at = np.arange(n, dtype=np.int32)
     for j in range(STEP):
-        at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int32)
+        at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int32) if j < STEP - 1 else 1
         np.minimum(at, n - 1, out=at)
     out = np.empty((points, n), np.uint64)
     out[0] = symbols
@@ -60,8 +64,8 @@ def _emitted(symbols: np.ndarray, walk: int, points: int) -> np.ndarray:
 
 
 def points_of(size: int) -> int:
-    """Emitted positions inside an item of at least 2**size words: two steps a word on average."""
-    return max(1, (2 << size) // STEP)
+    """Emitted positions inside an item of at least 2**size words."""
+    return max(1, int((1 << size) / ((STEP + 1) / 2)))
 
 
 def _samples(walk: int, size: int) -> list[np.ndarray]:
