@@ -32,12 +32,17 @@ class _Bits:
         self.words, self.ranks, self.hints, self.ones = words, ranks, hints, ones
 
     def select(self, i: np.ndarray) -> np.ndarray:
-        at = self.hints[i // _SAMPLE].astype(np.int64)
-        open_ = np.arange(len(i))
-        while len(open_):
-            further = self._before(at[open_] + 1) <= i[open_]
-            open_ = open_[further]
-            at[open_] += 1
+        group = i // _SAMPLE
+        at = self.hints[group].astype(np.int64)
+        high = self.hints[np.minimum(group + 1, len(self.hints) - 1)].astype(np.int64)
+        high = np.where(group + 1 < len(self.hints), high, len(self.words) - 1)
+        open_ = np.flatnonzero(at < high)
+        while len(open_):  # the last word with no more than i before it
+            mid = (at[open_] + high[open_] + 1) >> 1
+            up = self._before(mid) <= i[open_]
+            at[open_] = np.where(up, mid, at[open_])
+            high[open_] = np.where(up, high[open_], mid - 1)
+            open_ = open_[at[open_] < high[open_]]
         word = self.words[at]
         return at * 64 + _select_in_word(word if self.ones else ~word, i - self._before(at))
 

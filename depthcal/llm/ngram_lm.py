@@ -217,11 +217,13 @@ class NgramModel:
         own, back = np.unique(context[both], return_inverse=True)
         home = np.searchsorted(self.starts, own, "right") - 1
         place = np.full(len(own), -1)
-        backoff = np.zeros(len(own))
+        backoff, span = np.zeros(len(own)), np.zeros((2, len(own)), np.int64)
         for i, rows in _groups(home):
-            contexts, _, _, _, spare, shift = _piece(local_path(f"{self.folder}/pairs-{self.present[i]}"))
+            contexts, pointers, _, _, spare, shift = _piece(local_path(f"{self.folder}/pairs-{self.present[i]}"))
             at = contexts.find((own[rows] - shift).astype(np.uint64))
-            place[rows], backoff[rows[at >= 0]] = at, spare[at[at >= 0]] / STEPS
+            rows, at = rows[at >= 0], at[at >= 0]
+            place[rows], backoff[rows] = at, spare[at] / STEPS
+            span[0, rows], span[1, rows] = pointers.get(at), pointers.get(at + 1)
         scores[both] -= backoff[back]
         seen = np.flatnonzero(ids[both] >= 0)
         rows, back = both[seen], back[seen]
@@ -230,16 +232,17 @@ class NgramModel:
             if i >= len(self.present) or self.present[i] != piece[part[0]]:
                 continue  # no pair fell into that piece
             contexts, pointers, successors, steps, _, shift = _piece(local_path(f"{self.folder}/pairs-{self.present[i]}"))
-            at = place[back[part]]
+            at, (first, last) = place[back[part]], span[:, back[part]]
             away = np.flatnonzero(home[back[part]] != i)  # the context goes on in another piece
             if len(away):
                 far = context[rows[part[away]]] - shift
                 at[away] = np.where(far >= 0, contexts.find(np.maximum(far, 0).astype(np.uint64)), -1)
-            part, at = part[at >= 0], at[at >= 0]
+                away = away[at[away] >= 0]
+                first[away], last[away] = pointers.get(at[away]), pointers.get(at[away] + 1)
+            part, first, last, at = part[at >= 0], first[at >= 0], last[at >= 0], at[at >= 0]
             # The successors of a context are its ids raised by the range of the contexts before it.
             found = successors.find(at.astype(np.uint64) * np.uint64(one.words) + ids[rows[part]].astype(np.uint64))
-            part, at, found = part[found >= 0], at[found >= 0], found[found >= 0]
-            inside = (found >= pointers.get(at).astype(np.int64)) & (found < pointers.get(at + 1).astype(np.int64))
+            inside = (found >= first) & (found < last)  # a miss is -1
             scores[rows[part[inside]]] = -(steps[found[inside]] / STEPS)
         known = (counts > 0).astype(np.int64)
         return {"n_tokens": np.diff(np.append(start, len(tokens))), "n_known": np.add.reduceat(known, start),
