@@ -29,10 +29,10 @@ from .hashing import distinct, mix, span_hashes, text_chunks, word_spans
 MAGIC = b"FRVB0001"
 END_ID = 1
 #: Text bytes that go to one file, and words whose ids a worker remembers (a cache only; then it starts afresh).
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 CACHED_WORDS = 1_500_000
 #: Control bytes decoded at once.
-_BLOCK = 1 << 18
+_BLOCK = 1 << 16
 
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
 _LENGTHS = (_CODES + 1).astype(np.int64)
@@ -41,20 +41,24 @@ _OFFSETS = np.concatenate([np.zeros((256, 1), np.int64), np.cumsum(_LENGTHS, axi
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)[_CODES]
 
 
-def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Control bytes and data bytes of unsigned ranks. The last control byte is filled up with ranks of one byte."""
-    n = len(ranks)
-    padded = np.zeros(-(-n // 4) * 4, np.uint32)
-    padded[:n] = ranks
-    codes = (padded > 0xFF).astype(np.uint8) + (padded > 0xFFFF) + (padded > 0xFFFFFF)
-    quads = codes.reshape(-1, 4)
-    control = (quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6).astype(np.uint8)
-    at = np.concatenate([[0], np.cumsum(codes.astype(np.int64) + 1)])
-    data = np.zeros(at[-1], np.uint8)
-    for k in range(4):
-        use = np.flatnonzero(codes >= k)
-        data[at[:-1][use] + k] = (padded[use] >> (8 * k)) & 0xFF
-    return control, data
+def pack(ranks: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Control bytes and data bytes of unsigned ranks, in blocks. The last control byte is filled up with ranks of one byte."""
+    controls, data = [], []
+    for i in range(0, len(ranks), 4 * _BLOCK):
+        block = ranks[i:i + 4 * _BLOCK].astype(np.uint32)
+        block = np.append(block, np.zeros(-len(block) % 4, np.uint32))
+        codes = (block > 0xFF).astype(np.uint8) + (block > 0xFFFF) + (block > 0xFFFFFF)
+        quads = codes.reshape(-1, 4)
+        controls.append((quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6).astype(np.uint8))
+        at = np.cumsum(codes.astype(np.int64) + 1)
+        out = np.zeros(at[-1], np.uint8)
+        at -= codes + 1
+        for k in range(int(codes.max()) + 1):
+            use = np.flatnonzero(codes >= k)
+            out[at[use] + k] = (block[use] >> (8 * k)) & 0xFF
+        # Of the filling only the control bits stay; its data bytes are zero and belong to no id.
+        data.append(out)
+    return controls, data
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -75,11 +79,11 @@ def write_file(stream, doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> N
     order = np.lexsort((np.arange(len(counts)), -counts))[: np.count_nonzero(counts)].astype(np.uint32)
     rank = np.zeros(len(counts), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    control, data = pack(rank[ids])
-    stream.write(MAGIC + np.array([len(doc_ids), len(ids), len(order), len(data)], "<u8").tobytes())
+    controls, data = pack(rank[ids])
+    stream.write(MAGIC + np.array([len(doc_ids), len(ids), len(order), sum(map(len, data))], "<u8").tobytes())
     stream.write(np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes())
     stream.write(np.array([x is not None for x in doc_ids], np.uint8).tobytes())
-    for part in (lengths.astype("<u4"), order.astype("<u4"), control, data, np.zeros(3, np.uint8)):
+    for part in (lengths.astype("<u4"), order.astype("<u4"), *controls, *data, np.zeros(3, np.uint8)):
         stream.write(part.tobytes())
 
 
@@ -114,12 +118,15 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.at, self.size, self.pool = np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, self.kind)
 
     def encode(self, column) -> Iterator[list[np.ndarray]]:
         """The ids of each text of an Arrow column, in lists as long as the runs of texts worked on."""
         for _, _, data, bounds in text_chunks(column):
+            # The tokenizer lower-cases; only the strings of special tokens depend on case, and they hold this pair.
+            data = data if b"<|" in data.tobytes() else _LOWER[data]
             starts, ends, counts = word_spans(data, bounds)
             hashes = span_hashes(data, starts, ends, fold=False)
             padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -127,16 +134,16 @@ class WordEncoder:
             length = ends - starts
             short = length < 8
             heads[short] &= (np.uint64(1) << (length[short] * 8).astype(np.uint64)) - np.uint64(1)
-            marks = mix(heads + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            marks = (mix(heads + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
             self._learn(data, starts, ends, hashes, marks)
             where = self._find(hashes, marks)
-            at, sizes, pool = self.at[where], self.size[where], self.pool
+            at, sizes, pool = self.at[where].astype(np.int64), self.size[where].astype(np.int64), self.pool
             for i in np.flatnonzero(where < 0):  # another word has its hash
                 own = self.tokenizer.encode(data[starts[i]:ends[i]].tobytes().decode(), add_special_tokens=False).ids
-                at[i], sizes[i], pool = len(pool), len(own), np.append(pool, np.array(own, np.uint32))
+                at[i], sizes[i], pool = len(pool), len(own), np.append(pool, np.array(own, self.kind))
             ids = pool[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
             edges = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-            yield [np.append(ids[a:b], np.uint32(END_ID)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield [np.append(ids[a:b], self.kind(END_ID)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def _find(self, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Places in the memory, -1 where a word isn't known."""
@@ -161,16 +168,18 @@ class WordEncoder:
         flat, owner = [], []
         groups = [words[i:i + 64] for i in range(0, len(words), 64)]
         for i, e in enumerate(self.tokenizer.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
-            flat.append(np.array(e.ids, np.uint32))
+            flat.append(np.array(e.ids, self.kind))
             owner.append(np.array(e.word_ids, np.int64) + 64 * i)
         sizes = np.bincount(np.concatenate(owner).astype(np.int64), minlength=len(words))
         at = len(self.pool) + np.cumsum(sizes) - sizes
         place = np.searchsorted(self.keys, keys)
         self.keys, self.marks = np.insert(self.keys, place, keys), np.insert(self.marks, place, marks[new])
-        self.at, self.size = np.insert(self.at, place, at), np.insert(self.size, place, sizes)
+        self.at, self.size = np.insert(self.at, place, at.astype(np.uint32)), np.insert(self.size, place, sizes.astype(np.uint16))
         self.pool = np.concatenate([self.pool, *flat])
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _encoders: dict[str, WordEncoder] = {}
 
 
