@@ -163,19 +163,22 @@ def _rare_pairs(docs: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different components that can be similar, among the open (id, comp).
 
     Sets that share at least ``percent`` have a common shingle among the rarest ``n - ceil(percent * n / 100) + 1`` of
-    each, in any one order of all shingles; with the rarest first, members of a large group that differ in many places
-    meet nobody. The bound is exact, so no link is lost.
+    each, in any one order of all shingles, and at their first common one enough must be left in both. With the rarest
+    first, members of a large group that differ in many places meet nobody. The bounds are exact: no link is lost.
     """
     rows = pick(docs, open_.select("id").distinct()).select("doc_id", "text").mapInArrow(_shingle_rows, "id long, mark long, n long, s long")
     rows = materialize(rows, "near-shingles")
     common = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     met = rows.join(common, "s")
     each = W.partitionBy("id", "mark")
-    met = met.withColumn("slots", F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - (F.col("n") - F.count("*").over(each)))
-    met = met.where("slots > 0").withColumn("r", F.row_number().over(each.orderBy("c", "s"))).where("r <= slots").select("id", "n", "s")
+    met = met.withColumn("alone", F.col("n") - F.count("*").over(each))
+    met = met.withColumn("slots", F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1).where("alone < slots")
+    met = met.withColumn("pos", F.col("alone") + F.row_number().over(each.orderBy("c", "s"))).where("pos <= slots").select("id", "n", "s", "pos")
     met = materialize(met.join(open_, "id"), "near-prefixes")
-    both = met.toDF("a", "n_a", "s", "comp_a").join(met.toDF("b", "n_b", "s", "comp_b"), "s")
+    both = met.toDF("a", "n_a", "s", "pos_a", "comp_a").join(met.toDF("b", "n_b", "s", "pos_b", "comp_b"), "s")
     both = both.where("a < b and comp_a <> comp_b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    # What can be shared from the first common shingle on.
+    both = both.where((100 + percent) * (1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))) >= percent * (F.col("n_a") + F.col("n_b")))
     return both.select("a", "b").distinct()
 
 
