@@ -1,7 +1,7 @@
 """Byte-level BPE in Spark higher-order functions.
 
 Texts are split by the tokenizer's pattern. The ranked merges are folded over the byte array of each distinct word
-with a literal rank map (hex of the bytes to rank, dealt to buckets by checksum because a map literal is searched
+with a literal rank map (a pair of ids to the rank of its bytes, dealt to buckets because a map literal is searched
 linearly). The most frequent words' ids, a bounded number counted over all texts, become a second literal map, so that
 most words of a text are looked up; any other word is folded where it stands. Nothing but word counts is shuffled, and
 the result doesn't depend on the bound. Decoding concatenates the pieces of the ids.
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import let, materialize, table
 
 #: Buckets of the literal maps and the number of frequent words kept as a literal.
-RANK_BUCKETS = 16384
-CACHED_WORDS = 262_144
-CACHE_BUCKETS = 65_536
+RANK_BUCKETS, WORD_BUCKETS = 65_536, 16_384
+CACHED_WORDS, CACHE_BUCKETS = 262_144, 131_072
+_SPREAD = 40_503
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,18 +49,6 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
 
 
-def _bucketed(items, n: int) -> list[dict]:
-    """Maps by checksum of the key; the same bucket as :func:`_lookup`."""
-    maps: list[dict] = [{} for _ in range(n)]
-    for key, value in items:
-        maps[zlib.crc32(key.encode()) % n][key] = value
-    return maps
-
-
-def _lookup(maps: Column, n: int, key: Column) -> Column:
-    return F.element_at(F.get(maps, F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")), key)
-
-
 def split_text(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
@@ -69,73 +57,100 @@ class ByteBpe:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, pattern
-        self.rank_map = _literal(_bucketed(((k.hex(), v) for k, v in ranks.items()), RANK_BUCKETS), "array<map<string,int>>")
-        pieces = [""] * (max(ranks.values()) + 1)
+        self.pattern = pattern
+        size = max(ranks.values()) + 1
+        if size > 1 << 16:
+            raise ValueError("pairs are packed from ids of 16 bits")
+        pieces = [""] * size
         for k, v in ranks.items():
             pieces[v] = k.hex()
         self.pieces = _literal(pieces, "array<string>")
-        self.little_endian = _literal([i.to_bytes(4, "little").hex() for i in range(len(pieces))], "array<string>")
+        self.little_endian = _literal([i.to_bytes(4, "little").hex() for i in range(size)], "array<string>")
+        keys: list[list[int]] = [[] for _ in range(RANK_BUCKETS)]
+        values: list[list[int]] = [[] for _ in range(RANK_BUCKETS)]
+        for k, v in ranks.items():
+            for cut in range(1, len(k)):
+                left, right = ranks.get(k[:cut]), ranks.get(k[cut:])
+                if left is not None and right is not None:
+                    bucket = (left * _SPREAD + right) % RANK_BUCKETS
+                    keys[bucket].append(left << 16 | right)
+                    values[bucket].append(v)
+        table = {"k": keys, "v": values, "b": [ranks[bytes([i])] for i in range(256)]}
+        self.rank_map = _literal(table, "struct<k:array<array<bigint>>,v:array<array<int>>,b:array<int>>")
+        whole: list[dict] = [{} for _ in range(WORD_BUCKETS)]
+        for k, v in ranks.items():
+            whole[zlib.crc32(k.hex().encode()) % WORD_BUCKETS][k.hex()] = v
+        self.whole = _literal(whole, "array<map<string,int>>")
 
-    def fold_word(self, word: Column, maps: Column) -> Column:
+    def fold_word(self, word: Column, t: Column) -> Column:
         """The ids of one word: merge the adjacent pair of least rank, leftmost first, until no pair has a rank.
 
-        The state is the hex parts and the rank of each adjacent pair (none: a rank above all), kept side by side so
-        that a merge renews two ranks only.
+        An id is the rank of its bytes, so the least rank found is the id of the merged pair. The state is the ids and
+        the rank of each adjacent pair (none: a rank above all), kept side by side; a merge renews two ranks only.
         """
         none = F.lit(2**31 - 1)
-        rank = lambda key: F.coalesce(_lookup(maps, RANK_BUCKETS, key), none)
-        hexed = F.lower(F.hex(word.cast("binary")))
 
-        def start(h: Column) -> Column:
-            n = (F.length(h) / 2).cast("int")
-            parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))
-            pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(h, i * 2 + 1, F.lit(4))))
-            return F.struct(parts.alias("p"), pairs.alias("r"))
+        def rank(left: Column, right: Column) -> Column:
+            bucket = (left * _SPREAD + right).bitwiseAND(F.lit(RANK_BUCKETS - 1))
+            return let(bucket, lambda b: F.coalesce(F.get(F.get(t["v"], b), (F.array_position(F.get(t["k"], b), left * F.lit(65536).cast("long") + right) - 1).cast("int")), none))
+
+        def pairs(p: Column) -> Column:
+            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1))).alias("r"))
 
         def merge(s: Column) -> Column:
-            return let(F.array_min(s["r"]), lambda m: F.when(m == none, s).otherwise(
-                let(F.array_position(s["r"], m).cast("int"), lambda k: joined(s, k))))
+            return let(F.array_min(s["r"]), lambda m: F.when(m == none, s).otherwise(let(F.array_position(s["r"], m).cast("int"), lambda k: joined(s, m, k))))
 
-        def joined(s: Column, k: Column) -> Column:
+        def joined(s: Column, m: Column, k: Column) -> Column:
             p, r = s["p"], s["r"]
-            return let(F.concat(F.get(p, k - 1), F.get(p, k)), lambda new: F.struct(
-                F.concat(F.slice(p, F.lit(1), k - 1), F.array(new), F.slice(p, k + 2, F.size(p))).alias("p"),
+            nothing = F.array().cast("array<int>")
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), k - 1), F.array(m), F.slice(p, k + 2, F.size(p))).alias("p"),
                 F.concat(
                     F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), new)))).otherwise(F.array().cast("array<int>")),
-                    F.when(k < F.size(r), F.array(rank(F.concat(new, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>")),
-                    F.slice(r, k + 2, F.size(r))).alias("r")))
+                    F.when(k > 1, F.array(rank(F.get(p, k - 2), m))).otherwise(nothing),
+                    F.when(k < F.size(r), F.array(rank(m, F.get(p, k + 1)))).otherwise(nothing),
+                    F.slice(r, k + 2, F.size(r))).alias("r"))
 
-        def steps(h: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(2), (F.length(h) / 2).cast("int")), start(h), lambda s, _: merge(s), lambda s: F.transform(s["p"], rank))
+        def steps(p: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(2), F.size(p)), pairs(p), lambda s, _: merge(s), lambda s: s["p"])
 
-        return let(hexed, lambda h: let(_lookup(maps, RANK_BUCKETS, h), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(steps(h))))
+        plain = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(t["b"], F.ascii(F.substring(word, i, F.lit(1)))))
+        digit = lambda h, i: F.instr(F.lit("0123456789ABCDEF"), F.substring(h, i, F.lit(1))) - 1
+        other = let(F.hex(word.cast("binary")), lambda h: F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.get(t["b"], digit(h, i * 2 + 1) * 16 + digit(h, i * 2 + 2))))
+        start = F.when(F.length(word) == F.octet_length(word), plain).otherwise(other)
+        return let(start, lambda p: F.when(F.size(p) < 2, p).otherwise(steps(p)))
+
+    def whole_word(self, word: Column, maps: Column) -> Column:
+        """The rank of the word itself, which goes before any merge; null where it has none."""
+        key = F.lower(F.hex(word.cast("binary")))
+        return let(key, lambda h: F.element_at(F.get(maps, F.pmod(F.crc32(h.cast("binary")), F.lit(WORD_BUCKETS)).cast("int")), h))
 
     def word_ids(self, texts: DataFrame) -> DataFrame:
-        """(word, ids, n) of every distinct word of the column ``text``, with its count."""
+        """(word, n) of every distinct word of the column ``text``, with its count."""
         words = texts.select(F.explode(split_text(F.col("text"), self.pattern)).alias("word"))
-        counts = words.groupBy("word").agg(F.count("*").alias("n"))
-        return counts.select("word", self.with_ranks(lambda maps: self.fold_word(F.col("word"), maps)).alias("ids"), "n")
+        return words.groupBy("word").agg(F.count("*").alias("n"))
 
-    def with_ranks(self, body) -> Column:
-        return let(self.rank_map, body)
+    def folded(self, word: Column) -> Column:
+        """The ids of a column of words."""
+        return let(self.whole, lambda whole: let(self.rank_map, lambda t: let(self.whole_word(word, whole), lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(self.fold_word(word, t)))))
 
     def frequent_words(self, texts: DataFrame, limit: int = CACHED_WORDS) -> Column:
         """A literal map of the ids of the most frequent words; ``limit`` bounds its size and nothing else."""
-        words = texts.select(F.explode(split_text(F.col("text"), self.pattern)).alias("word"))
-        counts = words.groupBy("word").agg(F.count("*").alias("n"))
-        top = materialize(counts.where("n > 1").orderBy(F.desc("n"), "word").limit(limit).select("word"), "bpe-words")
-        top = top.repartition(64).select("word", self.with_ranks(lambda maps: self.fold_word(F.col("word"), maps)).alias("ids"))
-        found = ((r["word"], r["ids"]) for r in top.collect())  # at most ``limit`` rows
-        return _literal(_bucketed(found, CACHE_BUCKETS), "array<map<string,array<int>>>")
+        top = materialize(self.word_ids(texts).where("n > 1").orderBy(F.desc("n"), "word").limit(limit).select("word"), "bpe-words")
+        top = top.repartition(64).select("word", F.hash("word").bitwiseAND(CACHE_BUCKETS - 1).alias("b"), self.folded(F.col("word")).alias("ids"))
+        maps: list[dict] = [{} for _ in range(CACHE_BUCKETS)]
+        for word, bucket, ids in top.toLocalIterator():  # at most ``limit`` rows
+            maps[bucket][word] = list(ids)
+        return _literal(maps, "array<map<string,array<int>>>")
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", limit: int = CACHED_WORDS) -> DataFrame:
         """``docs`` with the array of ids of the column ``text`` added."""
         cache = self.frequent_words(docs.select(F.col(text).alias("text")), limit)
         words = split_text(F.col(text), self.pattern)
-        out = self.with_ranks(lambda maps: let(cache, lambda known: F.flatten(F.transform(
-            words, lambda w: F.coalesce(_lookup(known, CACHE_BUCKETS, w), self.fold_word(w, maps))))))
+        known = lambda maps, w: F.element_at(F.get(maps, F.hash(w).bitwiseAND(CACHE_BUCKETS - 1)), w)
+        rest = lambda w, whole, t: let(self.whole_word(w, whole), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self.fold_word(w, t)))
+        out = let(cache, lambda maps: let(self.whole, lambda whole: let(self.rank_map, lambda t: F.flatten(F.transform(
+            words, lambda w: F.coalesce(known(maps, w), rest(w, whole, t)))))))
         return docs.withColumn(ids, out)
 
     def decode(self, ids: Column) -> Column:
