@@ -29,6 +29,7 @@ THRESHOLD = -0.4
 #: Trusted ids are broadcast up to this number of rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 4_000_000
 
+_ANY_SYMBOL = "[" + SYMBOLS.replace("&", "\\&") + "]"
 _TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
@@ -40,7 +41,7 @@ def repeated_words(words: Column) -> Column:
     n = F.lit(WINDOW)
 
     def covered(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n))))
         return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
             let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), _positions)))
 
@@ -62,20 +63,41 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+        "n_symbols": F.when(text.rlike(_ANY_SYMBOL), F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).otherwise(0).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(words),
     }
 
 
-def buckets_of(text: Column) -> Column:
-    """Hashed unigrams and bigrams of a text, as bucket numbers."""
+def token_hashes(text: Column) -> Column:
+    """64-bit hashes of the lower-cased word and punctuation tokens."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKENS), F.lit(0))
-    one = lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")
-    return let(tokens, lambda t: F.concat(
-        F.transform(t, one),
-        F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(t, i), x), F.lit(BUCKETS)).cast("int"))))
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+
+
+def _pair(h: Column, i: Column, all_hashes: Column) -> Column:
+    """The bucket of the bigram that begins with a token; null at the last one."""
+    after = F.get(all_hashes, i + 1)
+    return F.when(after.isNotNull(), _bucket(F.xxhash64(h, after)))
+
+
+def buckets_of(text: Column) -> Column:
+    """Hashed unigrams and bigrams of a text, as bucket numbers; the last bigram is null."""
+    return let(token_hashes(text), lambda hs: F.concat(F.transform(hs, _bucket), F.transform(hs, lambda h, i: _pair(h, i, hs))))
+
+
+def mean_ratio(text: Column, table: Column) -> Column:
+    """The mean of the buckets' log ratios over a text's unigrams and bigrams; 0 without any."""
+    def mean(hs):
+        each = F.transform(hs, lambda h, i: F.get(table, _bucket(h)) + F.coalesce(F.get(table, _pair(h, i, hs)), F.lit(0.0)))
+        return F.when(F.size(hs) == 0, F.lit(0.0)).otherwise(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (2 * F.size(hs) - 1))
+
+    return let(token_hashes(text), mean)
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -87,7 +109,7 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     flagged = docs.join(ids.withColumn("trusted", F.lit(1)), "doc_id", "left")
-    grams = flagged.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(buckets_of(F.col("text"))).alias("b"))
+    grams = flagged.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(buckets_of(F.col("text"))).alias("b")).where("b is not null")
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("trusted").alias("good"))
     spark = docs.sparkSession
     counts = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left")  # at most BUCKETS rows
@@ -106,8 +128,7 @@ def score_documents(docs: DataFrame, trusted_ids: DataFrame, keep: list[str] | N
     extra = [c for c in keep or [] if c != "doc_id"]
     held = docs.select("doc_id", *extra, F.col("text").alias("_text"), words_of(F.col("text")).alias("_words"), lr.scalar().alias("_lr"))
     cols = base_columns(F.col("_text"), F.col("_words"))
-    mean = let(F.col("_lr"), lambda table: let(buckets_of(F.col("_text")), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(g))))
+    mean = let(F.col("_lr"), lambda lr_: mean_ratio(F.col("_text"), lr_))
     out = held.select("doc_id", *extra, *[c.alias(prefix + k) for k, c in cols.items()], mean.alias(f"{prefix}llr"))
     n_words = F.col(f"{prefix}n_words")
     failed = (n_words < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PCT * n_words)
