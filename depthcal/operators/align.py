@@ -69,7 +69,7 @@ def align_least_squares(frames: DataFrame, method: str = "furthest") -> DataFram
     line = line_of(background(F.col("depth"), F.col("mask"), F.col("ref_depth"), F.col("ref_mask")))
     out = joined.select("frame_id", "grp", "reference", line.alias("f"))
     own = F.col("frame_id") == F.col("reference")
-    return out.select("frame_id", "grp", "reference", F.when(own, 1.0).otherwise(F.col("f.a")).alias("a"), F.when(own, 0.0).otherwise(F.col("f.b")).alias("b"), F.col("f.n").alias("n"))
+    return out.select("frame_id", "grp", "reference", F.when(own, 1.0).otherwise(F.col("f.a")).alias("a"), F.when(own, 0.0).otherwise(F.col("f.b")).alias("b"), F.col("f.n").cast("long").alias("n"))
 
 
 def align_ransac(frames: DataFrame, method: str = "furthest", seeded: bool = False, trials: int = 200) -> DataFrame:
@@ -93,7 +93,7 @@ def align_ransac(frames: DataFrame, method: str = "furthest", seeded: bool = Fal
         return pd.DataFrame([line(*r) for r in zip(frame, reference, x, y, strict=True)], columns=["a", "b"])
 
     out = rows.withColumn("f", fit("frame_id", "reference", "x", "y"))
-    return out.select("frame_id", "grp", "reference", "f.a", "f.b", F.size("x").alias("n"))
+    return out.select("frame_id", "grp", "reference", "f.a", "f.b", F.size("x").cast("long").alias("n"))
 
 
 def aligned_subject(frames: DataFrame, lines: DataFrame) -> DataFrame:
