@@ -211,6 +211,14 @@ def _link_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: in
     return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), f"{name}-links")
 
 
+def _same_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the sets of a doc_id that several rows share."""
+    twice = materialize(filled.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "near-shared-ids")
+    own = filled.join(twice, "doc_id", "left_semi").select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep").distinct()
+    lead = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return materialize(own.join(lead, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "near-id-links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; linked where 100 * shared >= percent * union."""
     docs = docs.select("doc_id", "text")
@@ -229,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     shared = materialize(shared.join(weight, "id").select("key", "id", "w"), "near-weighted")
     hubs = shared.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("hub")).select("key", (-F.col("hub.m")).alias("hub"))
     pairs = shared.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = _link_pairs(pairs, nodes, docs, percent, "near-first")
+    links = _link_pairs(pairs, nodes, docs, percent, "near-first").union(_same_id(filled, classes))
     found = components(links)
 
     # Buckets in which not all members are in one component yet: their other pairs.
