@@ -1,8 +1,8 @@
 """Byte-level BPE in Spark higher-order functions.
 
 Texts are split by the tokenizer's pattern. The ranked merges are folded over the byte array of each distinct word
-with a literal rank map (a pair of ids to the rank of its bytes, dealt to buckets because a map literal is searched
-linearly). The most frequent words' ids, a bounded number counted over all texts, become a second literal map, so that
+with a literal rank map (a pair of ids, as characters, to the rank of its bytes, dealt to buckets because a map literal
+is searched linearly). The most frequent words' ids, a bounded number counted over all texts, become a second literal map, so that
 most words of a text are looked up; any other word is folded where it stands. Nothing but word counts is shuffled, and
 the result doesn't depend on the bound. Decoding concatenates the pieces of the ids.
 
@@ -24,7 +24,8 @@ from .common import let, materialize, table
 #: Buckets of the literal maps and the number of frequent words kept as a literal.
 RANK_BUCKETS, WORD_BUCKETS = 65_536, 16_384
 CACHED_WORDS, CACHE_BUCKETS = 262_144, 131_072
-_SPREAD = 40_503
+#: Ids as characters: the first one's code point, and the code point of the surrogates less it.
+_FIRST, _LAST = 256, 0xD800 - 256
 
 
 def tokenizer_file(name: str) -> str:
@@ -53,72 +54,58 @@ def split_text(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
+def _character(id_: int) -> str:
+    return chr(_FIRST + id_)
+
+
 class ByteBpe:
     """Encoder and decoder of one rank file."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = pattern
         size = max(ranks.values()) + 1
-        if size > 1 << 16:
-            raise ValueError("pairs are packed from ids of 16 bits")
+        if size > _LAST:
+            raise ValueError("ids are kept as characters below the surrogates")
         pieces = [""] * size
         for k, v in ranks.items():
             pieces[v] = k.hex()
         self.pieces = _literal(pieces, "array<string>")
         self.little_endian = _literal([i.to_bytes(4, "little").hex() for i in range(size)], "array<string>")
-        keys: list[list[int]] = [[] for _ in range(RANK_BUCKETS)]
-        values: list[list[int]] = [[] for _ in range(RANK_BUCKETS)]
+        maps: list[dict] = [{} for _ in range(RANK_BUCKETS)]
         for k, v in ranks.items():
             for cut in range(1, len(k)):
                 left, right = ranks.get(k[:cut]), ranks.get(k[cut:])
                 if left is not None and right is not None:
-                    bucket = (left * _SPREAD + right) % RANK_BUCKETS
-                    keys[bucket].append(left << 16 | right)
-                    values[bucket].append(v)
-        table = {"k": keys, "v": values, "b": [ranks[bytes([i])] for i in range(256)]}
-        self.rank_map = _literal(table, "struct<k:array<array<bigint>>,v:array<array<int>>,b:array<int>>")
+                    pair = _character(left) + _character(right)
+                    maps[zlib.crc32(pair.encode()) % RANK_BUCKETS][pair] = v
+        self.rank_map = _literal({"m": maps, "c": [_character(i) for i in range(size)]}, "struct<m:array<map<string,int>>,c:array<string>>")
+        self.bytes_in, self.bytes_out = "".join(map(chr, range(256))), "".join(_character(ranks[bytes([i])]) for i in range(256))
         whole: list[dict] = [{} for _ in range(WORD_BUCKETS)]
         for k, v in ranks.items():
             whole[zlib.crc32(k.hex().encode()) % WORD_BUCKETS][k.hex()] = v
         self.whole = _literal(whole, "array<map<string,int>>")
 
     def fold_word(self, word: Column, t: Column) -> Column:
-        """The ids of one word: merge the adjacent pair of least rank, leftmost first, until no pair has a rank.
+        """The ids of one word: merge the adjacent pair of least rank until no pair has a rank.
 
-        An id is the rank of its bytes, so the least rank found is the id of the merged pair. The state is the ids and
-        the rank of each adjacent pair (none: a rank above all), kept side by side; a merge renews two ranks only.
+        The bytes, and then the merged parts, are held as a string of one character for each id. An id is the rank of
+        its bytes, so the least rank found is the id of the merged pair. All places of that pair are merged at once,
+        from the left: ranks rise with length, so none of them can be overtaken by a pair that the merge brings about.
         """
         none = F.lit(2**31 - 1)
 
-        def rank(left: Column, right: Column) -> Column:
-            bucket = (left * _SPREAD + right).bitwiseAND(F.lit(RANK_BUCKETS - 1))
-            return let(bucket, lambda b: F.coalesce(F.get(F.get(t["v"], b), (F.array_position(F.get(t["k"], b), left * F.lit(65536).cast("long") + right) - 1).cast("int")), none))
-
-        def pairs(p: Column) -> Column:
-            return F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1))).alias("r"))
+        def rank(pair: Column) -> Column:
+            return F.coalesce(F.element_at(F.get(t["m"], F.crc32(pair.cast("binary")).bitwiseAND(F.lit(RANK_BUCKETS - 1).cast("long")).cast("int")), pair), none)
 
         def merge(s: Column) -> Column:
-            return let(F.array_min(s["r"]), lambda m: F.when(m == none, s).otherwise(let(F.array_position(s["r"], m).cast("int"), lambda k: joined(s, m, k))))
-
-        def joined(s: Column, m: Column, k: Column) -> Column:
-            p, r = s["p"], s["r"]
-            nothing = F.array().cast("array<int>")
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), k - 1), F.array(m), F.slice(p, k + 2, F.size(p))).alias("p"),
-                F.concat(
-                    F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(rank(F.get(p, k - 2), m))).otherwise(nothing),
-                    F.when(k < F.size(r), F.array(rank(m, F.get(p, k + 1)))).otherwise(nothing),
-                    F.slice(r, k + 2, F.size(r))).alias("r"))
-
-        def steps(p: Column) -> Column:
-            return F.aggregate(F.sequence(F.lit(2), F.size(p)), pairs(p), lambda s, _: merge(s), lambda s: s["p"])
-
-        plain = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(t["b"], F.ascii(F.substring(word, i, F.lit(1)))))
-        digit = lambda h, i: F.instr(F.lit("0123456789ABCDEF"), F.substring(h, i, F.lit(1))) - 1
-        other = let(F.hex(word.cast("binary")), lambda h: F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), lambda i: F.get(t["b"], digit(h, i * 2 + 1) * 16 + digit(h, i * 2 + 2))))
-        start = F.when(F.length(word) == F.octet_length(word), plain).otherwise(other)
-        return let(start, lambda p: F.when(F.size(p) < 2, p).otherwise(steps(p)))
+            ranks = F.transform(F.sequence(F.lit(1), F.length(s["p"]) - 1), lambda i: rank(F.substring(s["p"], i, F.lit(2))))
+            return let(ranks, lambda r: let(F.array_min(r), lambda m: F.when(m == none, F.struct(s["p"].alias("p"), F.lit(False).alias("open"))).otherwise(
+                let(F.replace(s["p"], F.substring(s["p"], F.array_position(r, m).cast("int"), F.lit(2)), F.get(t["c"], m)), lambda q: F.struct(q.alias("p"), (F.length(q) > 1).alias("open"))))))
+
+        start = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), self.bytes_in, self.bytes_out)
+        state = lambda p: F.struct(p.alias("p"), (F.length(p) > 1).alias("open"))
+        parts = let(start, lambda p: F.aggregate(F.sequence(F.lit(1), F.length(p)), state(p), lambda s, _: F.when(s["open"], merge(s)).otherwise(s), lambda s: s["p"]))
+        return let(parts, lambda p: F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.ascii(F.substring(p, i, F.lit(1))) - _FIRST))
 
     def whole_word(self, word: Column, maps: Column) -> Column:
         """The rank of the word itself, which goes before any merge; null where it has none."""
@@ -138,10 +125,11 @@ class ByteBpe:
         """A literal map of the ids of the most frequent words; ``limit`` bounds its size and nothing else."""
         top = materialize(self.word_ids(texts).where("n > 1").orderBy(F.desc("n"), "word").limit(limit).select("word"), "bpe-words")
         top = top.repartition(64).select("word", F.hash("word").bitwiseAND(CACHE_BUCKETS - 1).alias("b"), self.folded(F.col("word")).alias("ids"))
-        maps: list[dict] = [{} for _ in range(CACHE_BUCKETS)]
-        for word, bucket, ids in top.toLocalIterator():  # at most ``limit`` rows
-            maps[bucket][word] = list(ids)
-        return _literal(maps, "array<map<string,array<int>>>")
+        packed = top.groupBy("b").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "ids")))).alias("m"))
+        maps = ["{}"] * CACHE_BUCKETS
+        for bucket, m in packed.toLocalIterator():  # at most ``limit`` words
+            maps[bucket] = m
+        return F.from_json(F.lit(f"[{','.join(maps)}]"), "array<map<string,array<int>>>")
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", limit: int = CACHED_WORDS) -> DataFrame:
         """``docs`` with the array of ids of the column ``text`` added."""
