@@ -126,10 +126,12 @@ def score_documents(docs: DataFrame, trusted_ids: DataFrame, keep: list[str] | N
     """
     lr = log_ratios(docs.select("doc_id", "text"), trusted_ids)
     extra = [c for c in keep or [] if c != "doc_id"]
-    held = docs.select("doc_id", *extra, F.col("text").alias("_text"), words_of(F.col("text")).alias("_words"), lr.scalar().alias("_lr"))
+    held = docs.select("doc_id", *extra, F.col("text").alias("_text"), words_of(F.col("text")).alias("_words"))
     cols = base_columns(F.col("_text"), F.col("_words"))
+    counted = held.select("doc_id", *extra, *[c.alias(prefix + k) for k, c in cols.items()], "_text")
+    # The ratios are named once, in a projection of their own: there they stay a constant and don't become a column.
     mean = let(F.col("_lr"), lambda lr_: mean_ratio(F.col("_text"), lr_))
-    out = held.select("doc_id", *extra, *[c.alias(prefix + k) for k, c in cols.items()], mean.alias(f"{prefix}llr"))
+    out = counted.select("*", lr.scalar().alias("_lr")).select("doc_id", *extra, *(prefix + k for k in cols), mean.alias(f"{prefix}llr"))
     n_words = F.col(f"{prefix}n_words")
     failed = (n_words < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PCT * n_words)
     out = out.withColumn(f"{prefix}base_failed", failed)
