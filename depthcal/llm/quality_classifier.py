@@ -25,8 +25,8 @@ from .hashing import text_chunks
 from .linear import BUCKETS, calibrate, count_matrix, fit_logistic, scale_of, sigmoid, sum_weights
 
 #: Labelled and unlabelled documents used for fitting, the rounds, and the share of the unlabelled named in each round.
-LABELLED = 3000
-UNLABELLED = 3000
+LABELLED = 2000
+UNLABELLED = 2000
 ROUNDS = 5
 SHARE = 0.05
 #: How sure a view must be to name a document, and the least score of a kept document.
@@ -86,8 +86,9 @@ class QualityModel:
         if not self.fitted:
             return
         scale = scale_of(text)
-        shift, spread = meta.mean(0), meta[:, :].std(0) + 0.05
-        views = [text * scale, (meta - shift) / spread]
+        text *= scale  # in place: the largest array that the driver holds
+        shift, spread = meta.mean(0), meta.std(0) + 0.05
+        views = [text, (meta - shift) / spread]
         held = np.zeros(len(y), bool)
         for v in (-1, 1):
             held[np.flatnonzero(y == v)[::3]] = True
@@ -169,7 +170,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, un
         x[k, np.frombuffer(r["i"], np.uint16)] = np.frombuffer(r["v"], np.float16)
         meta[k] = np.frombuffer(r["m"], np.float32)
     signs = {None: 0}
-    return QualityModel(x, meta, np.array([signs.get(y[r["doc_id"]], 1 if y[r["doc_id"]] else -1) for r in found], np.int64))
+    target = np.array([signs.get(y[r["doc_id"]], 1 if y[r["doc_id"]] else -1) for r in found], np.int64)
+    del found
+    return QualityModel(x, meta, target)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:
