@@ -64,6 +64,65 @@ def resolve_videos(annotations: DataFrame, videos: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("path").isNull(), "video_missing"))
 
 
+#: Makes a model once for each worker; the model turns a frame (h, w) into detected masks (h, w).
+Segmenter = Callable[[], Callable[[np.ndarray], list[np.ndarray]]]
+
+
+def synthetic_segmenter() -> Callable[[np.ndarray], list[np.ndarray]]:
+    """A stand-in for a neural model: one mask of the pixels brighter than the frame's mean."""
+    return lambda frame: [frame > frame.mean()]
+
+
+def segment_frames(frames: DataFrame, segmenter: Segmenter = synthetic_segmenter) -> DataFrame:
+    """(video_name, frame_idx, instances, seg_status): masks without pixels dropped, the others in the order of their center."""
+    def centre(mask):
+        x = np.flatnonzero(mask.any(0))
+        return (x[0] + x[-1]) // 2
+
+    def run(batches):
+        model = segmenter()
+        for pdf in batches:
+            rows = []
+            for video, k, h, w, pixels in zip(pdf["video_name"], pdf["frame_idx"], pdf["h"], pdf["w"], pdf["pixels"], strict=True):
+                try:
+                    found = sorted((m for m in model(np.asarray(pixels, float).reshape(int(h), int(w))) if m.any()), key=centre)
+                    rows.append((video, k, [{"instance_idx": i, "mask": m.ravel().tolist()} for i, m in enumerate(found)], None))
+                except Exception as e:  # the error belongs to this frame
+                    rows.append((video, k, [], f"sam_error: {e}"))
+            yield pd.DataFrame(rows, columns=["video_name", "frame_idx", "instances", "seg_status"])
+
+    kind = "video_name string, frame_idx int, instances array<struct<instance_idx int, mask array<boolean>>>, seg_status string"
+    return frames.select("video_name", "frame_idx", "h", "w", "pixels").mapInPandas(run, kind)
+
+
+def evaluate_annotations(annotations: DataFrame, videos: DataFrame, decode, backend: Backend = synthetic_backend, segmenter: Segmenter = synthetic_segmenter) -> DataFrame:
+    """Annotations (video_name, frame_idx, ...) to results: every annotation at least once, with a status.
+
+    Videos are resolved, wanted frames decoded once, depth estimated once for a video, frames segmented once, and the
+    results of a frame handed to all its annotations.
+    """
+    from ..sources.files import read_frames
+
+    resolved = resolve_videos(annotations, videos)
+    missing, present = resolved.where("path is null"), resolved.where("path is not null").drop("status")
+    frames = read_frames(present.select("path", "frame_idx").distinct(), decode)
+    frames = frames.join(present.select("path", "video_name").distinct(), "path")
+    bad = frames.where("status is not null").select("video_name", "frame_idx", "status")
+    good = frames.where("status is null")
+    depth = estimate_depth(good, backend).select("video_name", "frame_idx", "h", "w", "depth", F.col("status").alias("depth_status"))
+    both = depth.join(segment_frames(good, segmenter), ["video_name", "frame_idx"])
+    failed = F.coalesce(F.when(F.col("depth_status") != "processed", F.col("depth_status")), F.col("seg_status"))
+    errors = both.where(failed.isNotNull()).select("video_name", "frame_idx", failed.alias("status"))
+    reduced = reduce_frames(both.where(failed.isNull()))
+    results = reduced.unionByName(errors, allowMissingColumns=True).unionByName(bad, allowMissingColumns=True)
+    return fan_out(present.drop("path"), results).unionByName(missing.drop("path"), allowMissingColumns=True)
+
+
+def summary_line(metrics: dict) -> str:
+    """The metrics of :func:`error_metrics` for a console."""
+    return "n={n} MAE={mae:.3f} RMSE={rmse:.3f} bias={bias:+.3f} gt [{gt_min:.1f}, {gt_max:.1f}] pred [{pred_min:.1f}, {pred_max:.1f}]".format(**metrics)
+
+
 def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy(status_prefix(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
 

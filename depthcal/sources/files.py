@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import subprocess
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.scalar import parse_rate
+from ..functions.scalar import flat_name, general_format, parse_rate
 
 VIDEO_SUFFIX = r"(?i)\.(avi|mp4|mov)$"
 
@@ -181,6 +182,13 @@ def probe_videos(videos: DataFrame, prober: Prober = ffprobe) -> DataFrame:
     return out.withColumn("vfr", F.coalesce(F.abs(F.col("fps") - F.col("avg_fps")) > 0.01, F.lit(False)))
 
 
+def fps_rows(probed: DataFrame, root: str) -> DataFrame:
+    """The rows of the rate table: names flattened below ``root``, numbers as six significant digits of text."""
+    below = F.regexp_replace("path", "^" + re.escape(root.rstrip("/")) + "/", "")
+    text = [F.when(F.col(c).isNotNull(), general_format(F.col(c))).alias(c) for c in ("fps", "avg_fps", "duration_s")]
+    return probed.select(flat_name(below).alias("video_name"), below.alias("path"), *text, "nb_frames", "vfr")
+
+
 #: Opens a video and yields its frames in order; raises OSError where it can't be opened.
 Decoder = Callable[[str], Iterator[np.ndarray]]
 

@@ -190,3 +190,48 @@ def test_export_pairs(spark):
     frames = spark.createDataFrame([("v", 3), ("v", 3), ("v", 5)], "video_name string, frame_idx int")
     got = export.export_pairs(export.list_calibrated(paths), frames).collect()
     assert [(r["video_name"], r["frame_idx"]) for r in got] == [("v", 3)]
+
+
+def test_whole_evaluation(spark):
+    a = spark.createDataFrame([("v", 1, 5.0), ("v", 1, 6.0), ("v", 9, 7.0), ("w", 0, 1.0), ("bad", 2, 3.0), ("err", 0, 2.0)], "video_name string, frame_idx int, distance_gt double")
+    videos = spark.createDataFrame([("/x/v", "v"), ("/x/bad", "bad"), ("/x/err", "err")], "ori string, anno string")
+
+    def decode(path):
+        if path.endswith("bad"):
+            raise OSError("broken")
+        return (np.array([[1.0, 5.0], [1.0 + i, 9.0]]) if not path.endswith("err") else np.full((2, 2), 100.0) for i in range(3))
+
+    def backend(stack):
+        if stack.max() > 50:
+            raise RuntimeError("too bright")
+        return evaluate.synthetic_backend(stack)
+
+    rows = evaluate.evaluate_annotations(a, videos, decode, backend).collect()
+    got = sorted((r["video_name"], r["frame_idx"], r["distance_gt"], r["status"]) for r in rows)
+    assert got == [("bad", 2, 3.0, "video_error: broken"), ("err", 0, 2.0, "depth_error: too bright"), ("v", 1, 5.0, "processed"), ("v", 1, 6.0, "processed"), ("v", 9, 7.0, "frame_decode_error"), ("w", 0, 1.0, "video_missing")]
+    assert all(r["mask_area_px"] == 2 and r["depth_mask_mean"] > 0 for r in rows if r["status"] == "processed")
+    counts = {r["status"]: r["n"] for r in evaluate.status_counts(spark.createDataFrame(rows)).collect()}
+    assert counts["depth_error"] == 1 and counts["processed"] == 2
+    assert evaluate.summary_line(evaluate.error_metrics(spark.createDataFrame(rows)).first().asDict()).startswith("n=2 ")
+
+
+def test_panels(spark, tmp_path):
+    import struct
+
+    from depthcal.operators import panels
+
+    d = np.array([[1.0, np.nan], [np.inf, 3.0]])
+    assert panels.colour_index(d).tolist() == [[0, 0], [255, 255]] and not panels.colourise(np.full((2, 2), np.nan)).any()
+    assert panels.outline(np.ones((3, 3), bool)).sum() == 8 and panels.colour_bar(5).shape == (5, 16, 3)
+    df = spark.createDataFrame([("a.png", 2, 2, d.ravel().tolist())], "name string, h int, w int, d array<double>")
+    made = df.select("name", panels.pair_png("h", "w", "d", "d").alias("png"))
+    assert [r["name"] for r in panels.write_panels(made, str(tmp_path)).collect()] == ["a.png"]
+    data = (tmp_path / "a.png").read_bytes()
+    assert struct.unpack(">II", data[16:24]) == (20, 2)
+
+
+def test_rate_rows(spark):
+    probed = spark.createDataFrame([("/r/s/c/a.AVI", 29.97002997, 25.0, 10.123456789, "7", True), ("/r/b.mp4", None, None, None, None, False)],
+                                   "path string, fps double, avg_fps double, duration_s double, nb_frames string, vfr boolean")
+    got = {r["video_name"]: r for r in files.fps_rows(probed, "/r").collect()}
+    assert got["s_c_a"]["fps"] == "29.97" and got["s_c_a"]["duration_s"] == "10.1235" and got["s_c_a"]["path"] == "s/c/a.AVI" and got["b"]["fps"] is None
