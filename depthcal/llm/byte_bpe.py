@@ -23,7 +23,7 @@ from .common import let, materialize, table
 
 #: Buckets of the literal maps and the number of frequent words kept as a literal.
 RANK_BUCKETS, WORD_BUCKETS = 65_536, 16_384
-CACHED_WORDS, CACHE_BUCKETS = 262_144, 131_072
+CACHED_WORDS, CACHE_BUCKETS = 65_536, 32_768
 #: Ids as characters: the first one's code point, and the code point of the surrogates less it.
 _FIRST, _LAST = 256, 0xD800 - 256
 
@@ -123,11 +123,13 @@ class ByteBpe:
 
     def frequent_words(self, texts: DataFrame, limit: int = CACHED_WORDS) -> Column:
         """A literal map of the ids of the most frequent words; ``limit`` bounds its size and nothing else."""
+        # Plans hold the literals; without a limit their texts would fill the driver.
+        texts.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
         top = materialize(self.word_ids(texts).where("n > 1").orderBy(F.desc("n"), "word").limit(limit).select("word"), "bpe-words")
-        top = top.repartition(64).select("word", F.hash("word").bitwiseAND(CACHE_BUCKETS - 1).alias("b"), self.folded(F.col("word")).alias("ids"))
+        top = top.repartition(16).select("word", F.hash("word").bitwiseAND(CACHE_BUCKETS - 1).alias("b"), self.folded(F.col("word")).alias("ids"))
         packed = top.groupBy("b").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "ids")))).alias("m"))
         maps = ["{}"] * CACHE_BUCKETS
-        for bucket, m in packed.toLocalIterator():  # at most ``limit`` words
+        for bucket, m in packed.collect():  # at most ``limit`` words
             maps[bucket] = m
         return F.from_json(F.lit(f"[{','.join(maps)}]"), "array<map<string,array<int>>>")
 
