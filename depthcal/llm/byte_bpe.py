@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import let, materialize, table
 
 #: Buckets of the literal maps and the number of frequent words kept as a literal.
-RANK_BUCKETS, WORD_BUCKETS = 65_536, 16_384
+RANK_BUCKETS, WORD_BUCKETS = 32_768, 8_192
 CACHED_WORDS, CACHE_BUCKETS = 65_536, 32_768
 #: Ids as characters: the first one's code point, and the code point of the surrogates less it.
 _FIRST, _LAST = 256, 0xD800 - 256
@@ -54,6 +54,21 @@ def split_text(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
 
+def last_merge(ranks: dict[bytes, int], piece: bytes, rank: int) -> list[int]:
+    """The two ids that lower merges leave of a piece.
+
+    Between two boundaries that no merge has crossed, a text is merged as the piece alone would be, so no other pair of
+    ids ever stands where the piece can be formed.
+    """
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    while len(parts) > 2:
+        least, at = min((ranks.get(a + b, rank), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if least >= rank:
+            raise ValueError(f"{piece!r} doesn't come of merges of lower ranks")
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
 def _character(id_: int) -> str:
     return chr(_FIRST + id_)
 
@@ -73,11 +88,9 @@ class ByteBpe:
         self.little_endian = _literal([i.to_bytes(4, "little").hex() for i in range(size)], "array<string>")
         maps: list[dict] = [{} for _ in range(RANK_BUCKETS)]
         for k, v in ranks.items():
-            for cut in range(1, len(k)):
-                left, right = ranks.get(k[:cut]), ranks.get(k[cut:])
-                if left is not None and right is not None:
-                    pair = _character(left) + _character(right)
-                    maps[zlib.crc32(pair.encode()) % RANK_BUCKETS][pair] = v
+            if len(k) > 1:
+                pair = "".join(map(_character, last_merge(ranks, k, v)))
+                maps[zlib.crc32(pair.encode()) % RANK_BUCKETS][pair] = v
         self.rank_map = _literal({"m": maps, "c": [_character(i) for i in range(size)]}, "struct<m:array<map<string,int>>,c:array<string>>")
         self.bytes_in, self.bytes_out = "".join(map(chr, range(256))), "".join(_character(ranks[bytes([i])]) for i in range(256))
         whole: list[dict] = [{} for _ in range(WORD_BUCKETS)]
