@@ -16,7 +16,7 @@ import base64
 import json
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, materialize, table
@@ -50,6 +50,11 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
 
 
+def _constant(spark: SparkSession, text: str, kind: str) -> Column:
+    """A constant of a nested type as a scalar subquery: plans don't spell it out, as they would a large literal."""
+    return spark.createDataFrame([(text,)], "j string").select(F.from_json("j", kind)).scalar()
+
+
 def split_text(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
@@ -91,12 +96,12 @@ class ByteBpe:
             if len(k) > 1:
                 pair = "".join(map(_character, last_merge(ranks, k, v)))
                 maps[zlib.crc32(pair.encode()) % RANK_BUCKETS][pair] = v
-        self.rank_map = _literal({"m": maps, "c": [_character(i) for i in range(size)]}, "struct<m:array<map<string,int>>,c:array<string>>")
+        self.rank_map = json.dumps({"m": maps, "c": [_character(i) for i in range(size)]}, ensure_ascii=False), "struct<m:array<map<string,int>>,c:array<string>>"
         self.bytes_in, self.bytes_out = "".join(map(chr, range(256))), "".join(_character(ranks[bytes([i])]) for i in range(256))
         whole: list[dict] = [{} for _ in range(WORD_BUCKETS)]
         for k, v in ranks.items():
             whole[zlib.crc32(k.hex().encode()) % WORD_BUCKETS][k.hex()] = v
-        self.whole = _literal(whole, "array<map<string,int>>")
+        self.whole = json.dumps(whole), "array<map<string,int>>"
 
     def fold_word(self, word: Column, t: Column) -> Column:
         """The ids of one word: merge the adjacent pair of least rank until no pair has a rank.
@@ -130,31 +135,40 @@ class ByteBpe:
         words = texts.select(F.explode(split_text(F.col("text"), self.pattern)).alias("word"))
         return words.groupBy("word").agg(F.count("*").alias("n"))
 
-    def folded(self, word: Column) -> Column:
-        """The ids of a column of words."""
-        return let(self.whole, lambda whole: let(self.rank_map, lambda t: let(self.whole_word(word, whole), lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(self.fold_word(word, t)))))
+    def with_constants(self, df: DataFrame, body, **more: tuple[str, str]) -> DataFrame:
+        """``df`` with the columns that ``body`` makes of the rank map, the whole words and further constants.
+
+        Each constant is named once, in a projection of its own, so that it stays one and doesn't become a column.
+        """
+        named = {"__t": self.rank_map, "__w": self.whole, **more}
+        held = df.select("*", *(_constant(df.sparkSession, *v).alias(k) for k, v in named.items()))
+        return held.select(*(F.col(f"`{c}`") for c in df.columns), body(*(F.col(k) for k in named)))
+
+    def rest(self, word: Column, whole: Column, t: Column) -> Column:
+        """The ids of a word by the maps: its own, or those of its merged parts."""
+        return let(self.whole_word(word, whole), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self.fold_word(word, t)))
 
-    def frequent_words(self, texts: DataFrame, limit: int = CACHED_WORDS) -> Column:
-        """A literal map of the ids of the most frequent words; ``limit`` bounds its size and nothing else."""
+    def frequent_words(self, texts: DataFrame, limit: int = CACHED_WORDS) -> tuple[str, str]:
+        """A constant map of the ids of the most frequent words; ``limit`` bounds its size and nothing else."""
         # Plans hold the literals; without a limit their texts would fill the driver.
         texts.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
         top = materialize(self.word_ids(texts).where("n > 1").orderBy(F.desc("n"), "word").limit(limit).select("word"), "bpe-words")
-        top = top.repartition(16).select("word", F.hash("word").bitwiseAND(CACHE_BUCKETS - 1).alias("b"), self.folded(F.col("word")).alias("ids"))
+        top = top.repartition(16).select("word", F.hash("word").bitwiseAND(CACHE_BUCKETS - 1).alias("b"))
+        top = self.with_constants(top, lambda t, w: let(w, lambda whole: let(t, lambda maps: self.rest(F.col("word"), whole, maps))).alias("ids"))
         packed = top.groupBy("b").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "ids")))).alias("m"))
         maps = ["{}"] * CACHE_BUCKETS
         for bucket, m in packed.collect():  # at most ``limit`` words
             maps[bucket] = m
-        return F.from_json(F.lit(f"[{','.join(maps)}]"), "array<map<string,array<int>>>")
+        return f"[{','.join(maps)}]", "array<map<string,array<int>>>"
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", limit: int = CACHED_WORDS) -> DataFrame:
         """``docs`` with the array of ids of the column ``text`` added."""
         cache = self.frequent_words(docs.select(F.col(text).alias("text")), limit)
         words = split_text(F.col(text), self.pattern)
         known = lambda maps, w: F.element_at(F.get(maps, F.hash(w).bitwiseAND(CACHE_BUCKETS - 1)), w)
-        rest = lambda w, whole, t: let(self.whole_word(w, whole), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self.fold_word(w, t)))
-        out = let(cache, lambda maps: let(self.whole, lambda whole: let(self.rank_map, lambda t: F.flatten(F.transform(
-            words, lambda w: F.coalesce(known(maps, w), rest(w, whole, t)))))))
-        return docs.withColumn(ids, out)
+        body = lambda t, w, c: let(c, lambda maps: let(w, lambda whole: let(t, lambda table_: F.flatten(F.transform(
+            words, lambda x: F.coalesce(known(maps, x), self.rest(x, whole, table_))))))).alias(ids)
+        return self.with_constants(docs, body, __c=cache)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: its pieces one after the other."""
