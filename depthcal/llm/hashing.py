@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at once; a longer text is worked on alone and whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
