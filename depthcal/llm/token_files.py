@@ -120,7 +120,7 @@ class WordEncoder:
     def _forget(self) -> None:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.keys, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.at, self.size, self.pool = np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, self.kind)
+        self.at, self.size, self.pool = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, self.kind)
 
     def encode(self, column) -> Iterator[list[np.ndarray]]:
         """The ids of each text of an Arrow column, in lists as long as the runs of texts worked on."""
@@ -174,7 +174,7 @@ class WordEncoder:
         at = len(self.pool) + np.cumsum(sizes) - sizes
         place = np.searchsorted(self.keys, keys)
         self.keys, self.marks = np.insert(self.keys, place, keys), np.insert(self.marks, place, marks[new])
-        self.at, self.size = np.insert(self.at, place, at.astype(np.uint32)), np.insert(self.size, place, sizes.astype(np.uint16))
+        self.at, self.size = np.insert(self.at, place, at.astype(np.uint32)), np.insert(self.size, place, sizes.astype(np.uint32))
         self.pool = np.concatenate([self.pool, *flat])
 
 

@@ -109,6 +109,15 @@ def test_token_files_match_the_library(spark, docs):
     assert token_files.write_tokens(docs([]), path) == [] and token_files.read_tokens(spark, []).count() == 0
 
 
+def test_words_of_more_than_65536_ids():
+    path = byte_bpe.tokenizer_file("word_bpe_49k.json")
+    enc = token_files.WordEncoder(path)
+    for text in ("7" * 70_000, "a b " + "漢字" * 16_000 + " c"):
+        want = enc.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert len(want) > 65_537
+        assert np.array_equal(np.concatenate([x for part in enc.encode(pa.array([text, "a b"])) for x in part])[:len(want)], want)
+
+
 # Byte-level BPE
 
 def test_byte_bpe_matches_the_library(spark, docs):
