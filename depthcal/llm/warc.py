@@ -5,9 +5,9 @@ record id, the target address, the digest and the reference as pushed predicates
 doesn't unpack the payload of a record that fails them, nor any where payloads aren't asked for: each record is a
 gzip member of its own, its header block is unpacked alone, and the stream goes ahead by the stored length.
 
-Cases: a null payload counts as empty; rows with a null id get a record without a page id; repeated rows give repeated
-records, of which the largest id is the response and, among rows of equal id, the one first written; an empty table
-gives no file and an empty result; further columns are ignored by name.
+Cases: a null payload counts as empty; rows with a null id get a record without a page id; rows of equal payload give
+one response, under their largest id, and revisits of it, also where a page_id is on rows of different payloads; an
+empty table gives no file and an empty result; further columns are ignored by name.
 """
 
 from __future__ import annotations
@@ -171,7 +171,7 @@ def read_warc(spark: SparkSession, paths: list[str], payload: bool = True, files
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, leader): leader is the largest page_id of equal payloads.
+    """(page_id, url, html, leader, sha): leader is the largest page_id of equal payloads.
 
     The group's leader is found by a checksum of the payload, pre-aggregated where the rows are; only ids and checksums
     are shuffled for it. Rows of a hot payload are streamed past their single leader row.
@@ -179,7 +179,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"))
     leaders = rows.groupBy("sha").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies"))
     shared = leaders.where("copies > 1").select("sha", "leader")
-    return rows.join(shared, "sha", "left").select("page_id", "url", "html", F.coalesce("leader", "page_id").alias("leader"))
+    return rows.join(shared, "sha", "left").select("page_id", "url", "html", F.coalesce("leader", "page_id").alias("leader"), "sha")
 
 
 def write_warc(pages: DataFrame) -> list[str]:
@@ -207,24 +207,25 @@ def write_warc(pages: DataFrame) -> list[str]:
                 if page_id is not None:
                     headers["X-Page-Id"] = str(page_id)
                 if page_id is None or page_id == leader and nth == 1:
-                    out.write(record("response", _uuid_of(f"page:{page_id}:{nth}"), headers, payload))
+                    out.write(record("response", _uuid_of(f"page:{page_id}:{digest}:{nth}"), headers, payload))
                     continue
-                headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:uuid:{_uuid_of(f'page:{leader}:1')}>", "X-Refers-To-Page-Id": str(leader)}
-                out.write(record("revisit", _uuid_of(f"page:{page_id}:{nth}"), headers, b""))
+                headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:uuid:{_uuid_of(f'page:{leader}:{digest}:1')}>", "X-Refers-To-Page-Id": str(leader)}
+                out.write(record("revisit", _uuid_of(f"page:{page_id}:{digest}:{nth}"), headers, b""))
         if out:
             out.close()
             rename_uri(passing, path)
             yield pa.RecordBatch.from_pydict({"path": [path]})
 
     planned = plan_records(pages)
-    # Equal ids are rare: they are numbered so that only one of them is the response.
+    # Equal ids are rare: those of equal payload are numbered so that only one of them is the response.
     twice = pages.groupBy("page_id").agg(F.count("*").alias("c")).where("c > 1 and page_id is not null").select("page_id")
     if twice.isEmpty():
-        planned = planned.withColumn("nth", F.lit(1))
+        nth = F.lit(1)
     else:
         from pyspark.sql import Window as W
 
-        planned = planned.withColumn("nth", F.row_number().over(W.partitionBy("page_id").orderBy("leader", "url")))
+        nth = F.row_number().over(W.partitionBy("page_id", "sha").orderBy("url"))
+    planned = planned.select("page_id", "url", "html", "leader", nth.alias("nth"))
     written = materialize(planned.mapInArrow(write, "path string"), "warc-paths")
     return sorted(r["path"] for r in written.collect())  # one row per task
 

@@ -214,6 +214,20 @@ def test_archives_round_trip(spark):
     assert warc.write_warc(spark.createDataFrame([], PAGES)) == []
 
 
+def test_each_payload_of_a_repeated_page_is_written(spark):
+    rows = [(9, "a", "one"), (9, "b", "two"), (9, "c", "two"), (9, "d", "three"), (4, "e", "two"), (3, "f", "one"), (8, "g", "three"), (2, "h", "alone")]
+    got = warc.read_warc(spark, warc.write_warc(spark.createDataFrame(rows, PAGES).repartition(3))).collect()
+    assert len(got) == len(rows) == len({r["record_id"] for r in got})
+    held = {r["record_id"]: r for r in got if r["record_type"] == "response"}
+    assert sorted(r["payload"].decode() for r in held.values()) == ["alone", "one", "three", "two"]
+    for r in got:
+        if r["record_type"] == "revisit":
+            leader = held[r["refers_to"]]
+            assert (leader["payload_digest"], leader["page_id"]) == (r["payload_digest"], r["refers_to_page_id"])
+    payload = {r["payload_digest"]: r["payload"].decode() for r in held.values()}
+    assert collections.Counter((r["page_id"], payload[r["payload_digest"]]) for r in got) == collections.Counter((i, h) for i, _, h in rows)
+
+
 def test_filters_reach_the_reader():
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
