@@ -3,8 +3,8 @@
 Each document's words are embedded from every position by a CGK random walk: at step j the walk emits the word it
 stands on and then moves on or stays by a random bit of (j, word), so that few edits change few emitted words and edit
 distance becomes Hamming distance. Several walks and several samples of emitted positions give hash keys; a window of
-the size of a benchmark item is a candidate where one of its keys equals the item's. The number of walks is chosen by
-simulated edits of the items themselves until the target recall is reached. Candidates are confirmed by the exact word
+the size of a benchmark item is a candidate where one of its keys equals the item's. The number of walks is chosen for
+each class of size by simulated edits of its items until the target recall is reached by confirmed candidates. Candidates are confirmed by the exact word
 edit distance between the item and the best window that starts there. All positions of whole texts are tried.
 
 The benchmark is held by every task in blocks of at most ``BLOCK_ITEMS`` items, whatever its size.
@@ -31,7 +31,8 @@ EDITS = 0.1
 RECALL = 0.99
 #: Emitted positions are taken every STEP steps of the walk; a key hashes WIDTH of them, a walk gives TABLES keys a size.
 STEP, WIDTH, TABLES = 4, 2, 3
-MAX_WALKS = 8
+#: Edited copies by which the walks of a class of size are found, and the walks at which that is given up with an error.
+SIMULATED, MOST_WALKS = 300, 500
 BLOCK_ITEMS = 20_000
 _FILTER_BITS, _OWN_BITS = 20, 24
 
@@ -41,8 +42,9 @@ def size_class(n: int) -> int:
     return max(0, n.bit_length() - 1)
 
 
-def _emitted(symbols: np.ndarray, walk: int, points: int) -> np.ndarray:
-    """The word hash emitted every STEP steps of the walk from each position; the last symbol stands for the end.
+def _emitted(symbols: np.ndarray, walk: int, points: int, starts: int | None = None) -> np.ndarray:
+    """The word hash emitted every STEP steps of the walk from each position, or from the first ``starts``; the last
+    symbol stands for the end.
 
     The bits repeat every STEP steps, so the way of STEP steps is one map that is applied again and again. Its last bit
     is always set: otherwise a word with no bit set would hold the walk for good.
@@ -53,9 +55,9 @@ def _emitted(symbols: np.ndarray, walk: int, points: int) -> np.ndarray:
     for j in range(STEP):
         at += ((bits[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int32) if j < STEP - 1 else 1
         np.minimum(at, n - 1, out=at)
-    out = np.empty((points, n), np.uint64)
-    out[0] = symbols
-    here = at
+    here = at[:starts]
+    out = np.empty((points, len(here)), np.uint64)
+    out[0] = symbols[:starts]
     for k in range(1, points):
         out[k] = symbols[here]
         if k + 1 < points:
@@ -112,13 +114,13 @@ class Benchmark:
         self.words = [words[k] for k in order]
         self.edits = edits
         self.sizes = sorted({size_class(len(w)) for w in self.words})
-        self.walks = self._walks(recall) if self.words else 0
+        self.walks = {size: self._walks(size, recall) for size in self.sizes}
         self.own = np.zeros(1 << _OWN_BITS, bool)
         for k, w in enumerate(self.words):
             self.own[(mix(w + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(64 - _OWN_BITS)).view(np.int64)] = True
         self.tables = []
-        for walk in range(self.walks):
-            for size in self.sizes:
+        for walk in range(max(self.walks.values(), default=0)):
+            for size in (s for s in self.sizes if walk < self.walks[s]):
                 for number, sample in enumerate(_samples(walk, size)):
                     keys, items = [], []
                     for k, w in enumerate(self.words):
@@ -133,37 +135,48 @@ class Benchmark:
 
     @staticmethod
     def _item_key(words, walk, size, number, sample) -> np.uint64:
-        return _keys(_emitted(np.append(words, np.uint64(0)), walk, points_of(size))[:, :1], sample, walk, size, number)[0]
+        return _keys(_emitted(np.append(words, np.uint64(0)), walk, points_of(size), 1), sample, walk, size, number)[0]
 
     def limit(self, n: int) -> int:
         return int(self.edits * n + 1e-9)
 
-    def _walks(self, recall: float) -> int:
-        """Walks until edited copies of (at most 300 of) the items share a key with them often enough.
+    def _copies(self, item: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """An edited copy of an item with other words behind it, as it would lie in a text.
 
-        Copies have the full number of edits: a third each of replaced, dropped and added words.
+        It has the full number of edits: a third each of replaced, dropped and added words.
         """
-        rng = np.random.default_rng(7)
-        chosen = [w for w in self.words if self.limit(len(w))][:: max(1, len(self.words) // 300)]
-        copies = []
-        for w in chosen:
-            c = list(w)
-            for e in range(self.limit(len(w))):
-                k = int(rng.integers(len(c)))
-                new = np.uint64(rng.integers(1 << 62))
-                c[k:k + (e % 3 != 1)] = [] if e % 3 == 2 else [new]
-            copies.append(np.array(c, np.uint64))
-        found = np.zeros(len(chosen), bool)
-        for walk in range(MAX_WALKS):
-            for k in np.flatnonzero(~found):
-                size = size_class(len(chosen[k]))
-                # An edit at the front is met from a neighbouring position.
-                starts = [copies[k][s:] for s in range(min(1 + self.limit(len(chosen[k])), len(copies[k])))]
-                found[k] = any(self._item_key(chosen[k], walk, size, i, s) == self._item_key(c, walk, size, i, s)
-                               for i, s in enumerate(_samples(walk, size)) for c in starts)
-            if found.mean() >= recall if len(found) else True:
+        limit, c = self.limit(len(item)), list(item)
+        for e in range(limit):
+            k = int(rng.integers(len(c)))
+            new = np.uint64(rng.integers(1 << 62))
+            c[k:k + (e % 3 != 1)] = [] if e % 3 == 2 else [new]
+        return np.concatenate([np.array(c, np.uint64), rng.integers(1 << 62, size=len(item) + limit).astype(np.uint64)])
+
+    def _meets(self, item: np.ndarray, text: np.ndarray, walk: int, size: int) -> bool:
+        """Whether a walk finds the item in an edited copy, by a hit that passes the verification of :meth:`search`."""
+        limit = self.limit(len(item))
+        emitted = _emitted(np.append(text, np.uint64(0)), walk, points_of(size), limit + 1)
+        hits: set[int] = set()
+        for number, sample in enumerate(_samples(walk, size)):
+            # An edit at the front is met from a neighbouring position.
+            hits.update(np.flatnonzero(_keys(emitted, sample, walk, size, number) == self._item_key(item, walk, size, number, sample)).tolist())
+        return any(edit_distance_from(item, text[p:p + len(item) + limit], limit)[0] <= limit for p in sorted(hits))
+
+    def _walks(self, size: int, recall: float) -> int:
+        """Walks until edited copies of the items of a size are found often enough.
+
+        At least SIMULATED copies are made, of evenly spaced items or several of each.
+        """
+        rng = np.random.default_rng([7, size])
+        items = [w for w in self.words if size_class(len(w)) == size]
+        items = items[:: max(1, len(items) // SIMULATED)]
+        left = [(w, self._copies(w, rng)) for w in items for _ in range(-(-SIMULATED // len(items)))]
+        allowed = int((1 - recall) * len(left) + 1e-9)
+        for walk in range(MOST_WALKS):
+            left = [(w, c) for w, c in left if not self._meets(w, c, walk, size)]
+            if len(left) <= allowed:
                 return walk + 1
-        return MAX_WALKS
+        raise ValueError(f"recall {recall} isn't reached for items of {1 << size} words and more within {MOST_WALKS} walks")
 
     def _screen(self, symbols: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The candidates of whose first n - limit words at most ``limit`` are foreign to the item, as must be of a match."""
@@ -187,11 +200,11 @@ class Benchmark:
             return []
         ends = np.cumsum(counts)
         symbols = np.append(hashes, np.uint64(0))
-        points = points_of(self.sizes[-1])
         last, met = None, []
         for walk, size, number, sample, keys, items, bits in self.tables:
             if walk != last:
-                emitted, last = _emitted(symbols, walk, points), walk
+                size_most = max(s for s in self.sizes if walk < self.walks[s])
+                emitted, last = _emitted(symbols, walk, points_of(size_most)), walk
             key = _keys(emitted, sample, walk, size, number)[:-1]
             hits = np.flatnonzero(bits[(key >> np.uint64(64 - _FILTER_BITS)).view(np.int64)])
             lo = np.searchsorted(keys, key[hits], "left")

@@ -139,6 +139,22 @@ def test_benchmark_in_blocks(spark, docs, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.drop_leaks(df, bench).collect()] == [10]
 
 
+def test_long_items_are_found_beside_many_short_ones():
+    rng = random.Random(8)
+    new = lambda n: [rng.randrange(1 << 62) for _ in range(n)]
+    items = [new(10) for _ in range(3000)] + [new(100) for _ in range(150)]
+    bench = decontaminate.Benchmark(list(range(len(items))), [np.array(w, np.uint64) for w in items])
+    missed = 0
+    for k in range(3000, 3150):
+        c = list(items[k])
+        for e in range(10):
+            at = rng.randrange(len(c))
+            c[at:at + (e % 3 != 1)] = [] if e % 3 == 2 else new(1)
+        text = np.array(new(30) + c + new(30), np.uint64)
+        missed += (0, k) not in {hit[:2] for hit in bench.search(text, np.array([len(text)]))}
+    assert missed <= 0.03 * 150
+
+
 def greedy(sizes, capacity):
     n, fill = 1, 0
     for s in sizes:
