@@ -192,6 +192,17 @@ def test_cotraining_separates_held_out_rows(spark, docs):
     assert quality_classifier.score_quality(docs([]), model, ["doc_id"]).count() == 0
 
 
+def test_cotraining_names_documents_outside_the_sample(spark, docs):
+    texts = [prose(k, 60) + "." if k % 4 else " ".join(w + "***" for w in prose(k, 60).split()) for k in range(240)]
+    lab = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(120)], "doc_id long, quality int, toxic int")
+    df = docs(texts + [(5, "another text")] * 50 + [(200, texts[200])] * 50)
+    model = quality_classifier.fit_quality(df, lab, unlabelled=8)
+    assert max(model.named) > 8
+    got = {(r["doc_id"], r["kept"]) for r in quality_classifier.score_quality(docs(texts), model, ["doc_id"]).collect()}
+    assert got == {(k, k % 4 > 0) for k in range(240)}
+    assert quality_classifier.LABELLED == quality_classifier.UNLABELLED == 3000
+
+
 # Language model
 
 def test_elias_fano_access_and_search(tmp_path):
