@@ -25,9 +25,9 @@ def pick_reference(points: DataFrame, method: str = "furthest", group: str = "gr
     return points.join(middle, group).groupBy(group).agg(F.min_by(order, F.struct(far, F.col(order))).alias("reference"))
 
 
-def with_reference(frames: DataFrame, method: str = "furthest") -> DataFrame:
-    """Each frame with its group's reference frame: reference, ref_depth, ref_mask."""
-    chosen = pick_reference(frames, method)
+def with_reference(frames: DataFrame, method: str = "furthest", chosen: DataFrame | None = None) -> DataFrame:
+    """Each frame with its group's reference frame: reference, ref_depth, ref_mask. ``chosen``: (grp, reference) if given."""
+    chosen = pick_reference(frames, method) if chosen is None else chosen
     ref = frames.join(chosen, (frames.frame_id == chosen.reference) & (frames.grp == chosen.grp), "left_semi")
     ref = ref.select("grp", F.col("frame_id").alias("reference"), F.col("depth").alias("ref_depth"), F.col("mask").alias("ref_mask"))
     return frames.join(ref, "grp")
@@ -72,10 +72,11 @@ def align_least_squares(frames: DataFrame, method: str = "furthest") -> DataFram
     return out.select("frame_id", "grp", "reference", F.when(own, 1.0).otherwise(F.col("f.a")).alias("a"), F.when(own, 0.0).otherwise(F.col("f.b")).alias("b"), F.col("f.n").cast("long").alias("n"))
 
 
-def align_ransac(frames: DataFrame, method: str = "furthest", seeded: bool = False, trials: int = 200) -> DataFrame:
+def align_ransac(frames: DataFrame, method: str = "furthest", seeded: bool = False, trials: int = 200,
+                 chosen: DataFrame | None = None) -> DataFrame:
     """As :func:`align_least_squares` by consensus of random pairs; ``seeded`` draws them from a seeded generator, else by
     arithmetic on the frame and the trial, which SQL can repeat."""
-    joined = with_reference(frames, method)
+    joined = with_reference(frames, method, chosen)
     rows = joined.select("frame_id", "grp", "reference", background(F.col("depth"), F.col("mask"), F.col("ref_depth"), F.col("ref_mask")).alias("px"))
     rows = rows.select("frame_id", "grp", "reference", F.transform("px", lambda p: p["x"]).alias("x"), F.transform("px", lambda p: p["y"]).alias("y"))
 

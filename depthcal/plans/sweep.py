@@ -1,4 +1,4 @@
-"""Sweep over anchors, methods, degrees and robustness, and its ranking."""
+"""Sweep over anchors, alignments, reference frames, methods, degrees and robustness, by clip or camera, and its ranking."""
 
 from __future__ import annotations
 
@@ -8,40 +8,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..operators.align import align_groups, align_ransac, aligned_subject, pick_reference
 from ..operators.loo import BUCKETS
-from ..operators.points import by_clip, load_points
+from ..operators.points import KEY, by_camera, by_clip, load_points
 
 ROBUST = ("scale", "linear")
 
 
-def grid(anchors=("mask_mean", "centroid"), methods=numeric.METHODS, degrees=(1, 2, 3)) -> list[tuple[str, str, int | None, bool | None]]:
-    """(anchor, method, degree, robust): degrees only for poly, robustness only for scale and linear."""
+def grid(anchors=("mask_mean", "centroid"), methods=numeric.METHODS, degrees=(1, 2, 3), aligns=("none",),
+         ref_frame_methods=("furthest",)) -> list[tuple[str, str, str | None, str, int | None, bool | None]]:
+    """(anchor, align, reference method, method, degree, robust): reference methods only for ransac, degrees only for
+    poly, robustness only for scale and linear."""
     out = []
     for anchor in anchors:
-        for method in methods:
-            for degree in degrees if method == "poly" else (None,):
-                out += [(anchor, method, degree, robust) for robust in ((False, True) if method in ROBUST else (None,))]
+        for align in aligns:
+            for reference in ref_frame_methods if align == "ransac" else (None,):
+                for method in methods:
+                    for degree in degrees if method == "poly" else (None,):
+                        out += [(anchor, align, reference, method, degree, robust) for robust in ((False, True) if method in ROBUST else (None,))]
     return out
 
 
 def grid_frame(spark: SparkSession, **options) -> DataFrame:
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(grid(**options))], "sweep_ord int, anchor string, method string, degree int, robust boolean")
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(grid(**options))], "sweep_ord int, anchor string, align string, "
+                                 "ref_frame_method string, method string, degree int, robust boolean")
 
 
-def sweep(results: DataFrame, exclusions: DataFrame | None = None, **options) -> DataFrame:
-    """One row for each combination. The points of both anchors share one scan and one shuffle by group; each group is
-    scored by all combinations where it lies, and only its sums travel on."""
+def aligned_points(points: DataFrame, maps: DataFrame, reference: str, min_points: int = 4) -> DataFrame:
+    """``points`` with predictions aligned within their groups; ``maps``: KEY, depth, mask, of one shape in a group.
+
+    The reference is picked from all points. A point without a map keeps its prediction, as does a group whose
+    reference has none.
+    """
+    points = points.withColumn("frame_id", F.format_string("%s/%012d/%012d", *KEY))
+    chosen = pick_reference(points, reference, "group_key", "gt_m").withColumnRenamed("group_key", "grp")
+    frames = points.join(maps.select(*KEY, "depth", "mask"), KEY).where("depth is not null and mask is not null").select(
+        "frame_id", F.col("group_key").alias("grp"), "depth", "mask")
+    values = aligned_subject(frames, align_ransac(frames, seeded=True, chosen=chosen))
+    return align_groups(points, values, min_points)
+
+
+def sweep(results: DataFrame, exclusions: DataFrame | None = None, maps: DataFrame | None = None, videos: DataFrame | None = None,
+          calib_level: str = "clip", min_points: int = 4, **options) -> DataFrame:
+    """One row for each combination. The points of all anchors and alignments share one shuffle by group; each group is
+    scored by all combinations where it lies, and only its sums travel on. Alignment by ransac needs ``maps`` (KEY, depth,
+    mask), the camera level (``cam``) needs ``videos``."""
+    if calib_level not in ("clip", "cam") or calib_level == "cam" and videos is None:
+        raise ValueError("calib_level is clip, or cam with a list of videos")
     combos = list(enumerate(grid(**options)))
-    anchors = sorted({c[0] for _, c in combos})
     points = None
-    for anchor in anchors:
-        p = by_clip(load_points(results, anchor, exclusions)).select("group_key", "pred", "gt_m", "v", F.lit(anchor).alias("anchor"))
+    for anchor, align, reference in sorted({c[:3] for _, c in combos}, key=str):
+        p = load_points(results, anchor, exclusions)
+        p = by_camera(p, videos) if calib_level == "cam" else by_clip(p)
+        if align == "ransac":
+            if maps is None:
+                raise ValueError("alignment by ransac needs maps")
+            p = aligned_points(p, maps, reference, min_points)
+        elif align != "none":
+            raise ValueError(f"unknown alignment {align}")
+        p = p.select("group_key", "pred", "gt_m", "v", F.lit(f"{anchor}/{align}/{reference}").alias("loaded"))
         points = p if points is None else points.union(p)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for ord_, (anchor, method, degree, robust) in combos:
-            own = pdf[pdf["anchor"] == anchor]
+        for ord_, (anchor, align, reference, method, degree, robust) in combos:
+            own = pdf[pdf["loaded"] == f"{anchor}/{align}/{reference}"]
             if own.empty:
                 continue
             gt, plain, refit = numeric.leave_one_out(method, own["pred"], own["gt_m"], own["v"], degree or 2, bool(robust))
@@ -70,7 +101,8 @@ def sweep(results: DataFrame, exclusions: DataFrame | None = None, **options) ->
     for name, _, _ in BUCKETS:
         columns += [F.coalesce(f"{name}_n", F.lit(0)).alias(f"{name}_n")]
         columns += [F.try_divide(F.col(f"_{name}_{k}"), F.col(f"{name}_n")).alias(f"{name}_mae_{label}") for k, label in (("u", "uncal"), ("c", "cal"))]
-    return out.select("sweep_ord", "anchor", "method", "degree", "robust", F.coalesce("n_groups_total", F.lit(0)).alias("n_groups_total"),
+    return out.select("sweep_ord", "anchor", "align", F.coalesce("ref_frame_method", F.lit("")).alias("ref_frame_method"), F.lit(calib_level).alias("calib_level"),
+                      "method", "degree", "robust", F.coalesce("n_groups_total", F.lit(0)).alias("n_groups_total"),
                       F.coalesce("n_groups_scored", F.lit(0)).alias("n_groups_scored"), "mean_loo_mae_uncal", "mean_loo_mae_cal",
                       (F.col("mean_loo_mae_uncal") - F.col("mean_loo_mae_cal")).alias("mean_improvement"),
                       F.try_divide(100.0 * F.col("better"), F.col("n_groups_scored")).alias("pct_groups_improved"), *columns)

@@ -328,7 +328,7 @@ def camera_level_fit(spark, sf_dir):
   FROM (VALUES (0, 'mask_mean'), (1, 'centroid')) a(ao, anchor), (VALUES (0, 'scale', NULL, false), (0, 'scale', NULL, true), (1, 'linear', NULL, false), (1, 'linear', NULL, true),
   (2, 'disparity', NULL, NULL), (3, 'poly', 1, NULL), (3, 'poly', 2, NULL), (3, 'poly', 3, NULL), (4, 'poly2d', NULL, NULL), (5, 'piecewise', NULL, NULL)) m(mo, method, dg, rb)""")
 def sweep_grid(spark, sf_dir):
-    return sw.grid_frame(spark)
+    return sw.grid_frame(spark).select("sweep_ord", "anchor", "method", "degree", "robust")
 
 
 @query("sweep_all")

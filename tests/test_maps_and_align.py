@@ -235,3 +235,34 @@ def test_rate_rows(spark):
                                    "path string, fps double, avg_fps double, duration_s double, nb_frames string, vfr boolean")
     got = {r["video_name"]: r for r in files.fps_rows(probed, "/r").collect()}
     assert got["s_c_a"]["fps"] == "29.97" and got["s_c_a"]["duration_s"] == "10.1235" and got["s_c_a"]["path"] == "s/c/a.AVI" and got["b"]["fps"] is None
+
+
+def test_sweep_over_alignments_and_levels(spark):
+    from depthcal.plans import sweep
+
+    rng = np.random.default_rng(0)
+    ground = rng.uniform(5, 20, 21)
+    rows, maps = [], []
+    for v in ("a", "b"):
+        for f in range(6):
+            gt = 2.0 + f + (v == "b") / 2
+            s, c = rng.uniform(0.5, 2), rng.uniform(0, 1)
+            depth = (np.concatenate([np.full(4, 2 * gt + 1), ground]) + c) * s
+            rows.append((v, f, 0, "processed", float(depth[0]), float(depth[0]), gt, 0.5, len(rows)))
+            if (v, f) != ("b", 2):
+                maps.append((v, f, 0, depth.tolist(), [True] * 4 + [False] * 21))
+    results = spark.createDataFrame(rows, "video_name string, frame_idx int, instance_idx int, status string, depth_mask_mean double, depth_centroid double, distance_gt double, center_y_norm double, ord int")
+    maps = spark.createDataFrame(maps, "video_name string, frame_idx int, instance_idx int, depth array<double>, mask array<boolean>")
+    videos = spark.createDataFrame([("/cam/x.mp4", "a"), ("/cam/y.mp4", "b")], "ori string, anno string")
+    own = results.where("video_name = 'a'")
+    options = {"anchors": ("mask_mean",), "methods": ("linear",), "aligns": ("none", "ransac"), "ref_frame_methods": ("furthest", "median")}
+    got = sweep.sweep(own, maps=maps, **options).orderBy("sweep_ord").collect()
+    assert [(r["align"], r["ref_frame_method"], r["calib_level"], r["robust"]) for r in got] == [(a, m, "clip", b) for a, m in (("none", ""), ("ransac", "furthest"), ("ransac", "median")) for b in (False, True)]
+    assert all((r["mean_loo_mae_cal"] < 1e-3) == (r["align"] == "ransac") for r in got)
+    levels = {level: sweep.sweep(results, maps=maps, videos=videos, calib_level=level, **options).collect() for level in ("clip", "cam")}
+    assert all(r["n_groups_total"] == (1 if level == "cam" else 2) and r["calib_level"] == level for level, rs in levels.items() for r in rs)
+    cam = {(r["align"], r["ref_frame_method"]): r["mean_loo_mae_cal"] for r in levels["cam"] if r["robust"] is False}
+    assert cam["ransac", "furthest"] < cam["none", ""]  # one point of twelve has no map and keeps its prediction
+    assert len(sweep.grid(aligns=("none", "ransac"), ref_frame_methods=("furthest", "median"))) == 60
+    with pytest.raises(ValueError):
+        sweep.sweep(own, **options)
