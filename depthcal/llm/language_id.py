@@ -111,11 +111,12 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel |
     if not langs:
         return None
     each = max(1, sample // len(langs))
-    ranked = labelled.where("lang is not null and text is not null").select(
+    ranked = labelled.where("lang is not null and text is not null").select("doc_id", "lang").distinct().select(
         "doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("r"))
-    chosen = ranked.where(F.col("r") <= each).select("doc_id", "lang").dropDuplicates(["doc_id"])
-    rows = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text", "doc_id")  # at most ``sample`` ids
-    rows = rows.limit(4 * sample)  # repeated ids can't make more than that
+    chosen = ranked.where(F.col("r") <= each).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    rows = labelled.select("doc_id", "text", F.col("lang").alias("own")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    # One row for each of them, of its own language: repeated ids can't push others out.
+    rows = rows.where("own = lang and text is not null").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text", "doc_id")
 
     def features(batches):
         for batch in batches:

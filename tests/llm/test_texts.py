@@ -169,6 +169,16 @@ def test_language_accuracy_and_odd_texts(spark, docs):
     assert language_id.predict_languages(docs(["abc"]), one, ["doc_id"]).first()["lang_pred"] == "en"
 
 
+def test_repeated_ids_push_no_language_out(spark, docs):
+    train = docs([(1, sentences("en", 1))] * 400)
+    for lang in LANGS:
+        train = train.union(docs([(100 * ord(lang[0]) + ord(lang[1]) * 1000 + k, sentences(lang, k)) for k in range(10)], lang=lang))
+    model = language_id.fit_languages(train, sample=40)
+    test = docs([sentences(lang, 99) for lang in LANGS])
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict_languages(test, model, ["doc_id"]).collect()}
+    assert [got[i] for i in range(4)] == list(LANGS)
+
+
 # Quality classifier
 
 def test_cotraining_separates_held_out_rows(spark, docs):
