@@ -140,6 +140,20 @@ def test_byte_bpe_matches_the_library(spark, docs):
     assert bpe.encode(docs([])).count() == 0
 
 
+def test_byte_bpe_matches_the_library_on_whole_texts(docs):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ODD
+    bpe = byte_bpe.production()
+    for r in bpe.encode(docs(texts)).select("doc_id", "ids", bpe.decode(F.col("ids")).alias("d")).collect():
+        t = texts[r["doc_id"]] or ""
+        assert r["ids"] == enc.encode_ordinary(t) and bytes(r["d"]).decode() == t
+
+
 # Language ID
 
 LANGS = {"en": "the of and thing with", "de": "der die und keit nicht schön", "es": "el que ción los niño", "fr": "le que été dans ça avec"}
