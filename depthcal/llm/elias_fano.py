@@ -120,28 +120,3 @@ class EliasFano:
         same = hit[self._lower(lo[hit]) == low[hit]]
         out[same] = lo[same]
         return out
-
-
-def save(stream, arrays: list[np.ndarray], numbers: list[int]) -> None:
-    """Arrays one after the other on 8-byte bounds behind a table of their kinds and lengths."""
-    kinds = "".join(f"{a.dtype.str}:{len(a)};" for a in arrays)
-    head = f"{','.join(map(str, numbers))}|{kinds}".encode()
-    head += b" " * (-(len(head) + 8) % 8)
-    stream.write(np.array([len(head)], "<u8").tobytes() + head)
-    for a in arrays:
-        raw = a.tobytes()
-        stream.write(raw + b"\0" * (-len(raw) % 8))
-
-
-def load(path: str) -> tuple[list[int], list[np.ndarray]]:
-    """The numbers and the arrays of a file, mapped into memory rather than read."""
-    data = np.memmap(path, np.uint8, "r")
-    size = int(data[:8].view("<u8")[0])
-    numbers, _, kinds = bytes(data[8:8 + size]).decode().strip().partition("|")
-    at, arrays = 8 + size, []
-    for item in kinds.split(";")[:-1]:
-        kind, _, n = item.partition(":")
-        length = int(n) * np.dtype(kind).itemsize
-        arrays.append(np.frombuffer(data, kind, int(n), at) if int(n) else np.zeros(0, kind))
-        at += length + (-length % 8)
-    return [int(x) for x in numbers.split(",")], arrays

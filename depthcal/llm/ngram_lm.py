@@ -19,7 +19,6 @@ empty result; further columns are ignored by name.
 
 from __future__ import annotations
 
-import os
 from functools import lru_cache
 
 import numpy as np
@@ -27,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, materialize, new_path, open_uri, rename_uri, table
-from .elias_fano import EliasFano, load, save
+from .common import materialize, new_path, table
+from .elias_fano import EliasFano
 from .hashing import text_chunks, word_hashes
+from .stored import load_cached, publish
 
 #: The end token's hash.
 END = np.uint64(0x00E4D00E4D00E4D5)
@@ -114,30 +114,26 @@ def _merge_piece(column) -> tuple[np.ndarray, np.ndarray]:
     return _sorted_counts(np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
-def _publish(path: str, arrays, numbers) -> None:
-    passing = f"{path}.{os.getpid()}-{os.urandom(4).hex()}"
-    with open_uri(passing, "wb") as stream:
-        save(stream, arrays, numbers)
-    rename_uri(passing, path)
-
-
 class Level1:
     """Words: id, count and share of all training tokens, over the mapped pieces."""
 
     def __init__(self, folder: str, pieces: list[tuple[int, int, int]], bits: int):
-        self.bits = bits
-        self.first, self.before, self.maps = {}, {}, {}
+        self.folder, self.bits = folder, bits
+        self.first, self.before = {}, {}
         n = total = 0
         for piece, words, tokens in pieces:
-            (size, low), (low_bits, high, ranks, ones, zeros, counts, sums) = load(local_path(f"{folder}/words-{piece}"))
-            self.maps[piece] = EliasFano(size, low, [low_bits, high, ranks, ones, zeros]), counts, sums
             self.first[piece], self.before[piece] = n, total
             n, total = n + words, total + tokens
         self.words, self.tokens = n, total
 
+    def piece(self, p: int) -> tuple[EliasFano, np.ndarray, np.ndarray]:
+        """The hashes, counts and sums of counts of a piece."""
+        (size, low), (*parts, counts, sums) = load_cached(f"{self.folder}/words-{p}")
+        return EliasFano(size, low, parts), counts, sums
+
     def by_id(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(training tokens of smaller ids, count) of each id."""
-        names = list(self.maps)
+        names = list(self.first)
         piece = np.searchsorted(np.array([self.first[p] for p in names]), ids, "right") - 1
         before, counts = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
         order = np.argsort(piece, kind="stable")
@@ -145,7 +141,8 @@ class Level1:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             rows, p = order[a:b], names[int(piece[order[a]])]
             at = ids[rows] - self.first[p]
-            counts[rows], before[rows] = self.maps[p][1][at], self.maps[p][2][at].astype(np.int64) + self.before[p]
+            _, count, sums = self.piece(p)
+            counts[rows], before[rows] = count[at], sums[at].astype(np.int64) + self.before[p]
         return before, counts
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,8 +154,8 @@ class Level1:
         rest = np.uint64((1 << (64 - self.bits)) - 1)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             p = int(piece[a])
-            if p in self.maps:
-                sequence, count, sums = self.maps[p]
+            if p in self.first:
+                sequence, count, sums = self.piece(p)
                 at = sequence.find(few[a:b] & rest)
                 ok = at >= 0
                 ids[a:b] = np.where(ok, at + self.first[p], -1)
@@ -179,10 +176,9 @@ def _level1(folder: str, pieces: tuple, bits: int) -> Level1:
     return Level1(folder, list(pieces), bits)
 
 
-@lru_cache(maxsize=4096)
 def _piece(path: str):
-    """The second level's piece: contexts, pointers, successors, steps; all mapped."""
-    (m, m_low, n, n_low, p_low, base), arrays = load(path)
+    """The second level's piece: contexts, pointers, successors, steps."""
+    (m, m_low, n, n_low, p_low, base), arrays = load_cached(path)
     contexts = EliasFano(m, m_low, arrays[:5])
     pointers = EliasFano(m + 1, p_low, arrays[5:10])
     successors = EliasFano(n, n_low, arrays[10:15])
@@ -219,7 +215,7 @@ class NgramModel:
         place = np.full(len(own), -1)
         backoff, span = np.zeros(len(own)), np.zeros((2, len(own)), np.int64)
         for i, rows in _groups(home):
-            contexts, pointers, _, _, spare, shift = _piece(local_path(f"{self.folder}/pairs-{self.present[i]}"))
+            contexts, pointers, _, _, spare, shift = _piece(f"{self.folder}/pairs-{self.present[i]}")
             at = contexts.find((own[rows] - shift).astype(np.uint64))
             rows, at = rows[at >= 0], at[at >= 0]
             place[rows], backoff[rows] = at, spare[at] / STEPS
@@ -231,7 +227,7 @@ class NgramModel:
         for i, part in _groups(np.searchsorted(self.present, piece)):
             if i >= len(self.present) or self.present[i] != piece[part[0]]:
                 continue  # no pair fell into that piece
-            contexts, pointers, successors, steps, _, shift = _piece(local_path(f"{self.folder}/pairs-{self.present[i]}"))
+            contexts, pointers, successors, steps, _, shift = _piece(f"{self.folder}/pairs-{self.present[i]}")
             at, (first, last) = place[back[part]], span[:, back[part]]
             away = np.flatnonzero(home[back[part]] != i)  # the context goes on in another piece
             if len(away):
@@ -280,7 +276,7 @@ def train(texts: DataFrame) -> NgramModel:
         piece = key[0].as_py()
         values, counts = _merge_piece(rows.column("data"))
         n, low, parts = EliasFano.build(values & rest, 1 << (64 - bits))
-        _publish(f"{folder}/words-{piece}", [*parts, counts.astype("<u4") if counts.max() < 2**32 else counts, np.cumsum(counts) - counts], [n, low])
+        publish(f"{folder}/words-{piece}", [*parts, counts.astype("<u4") if counts.max() < 2**32 else counts, np.cumsum(counts) - counts], [n, low])
         return pa.table({"piece": [piece], "words": [n], "tokens": [int(counts.sum())]})
 
     counted = texts.mapInArrow(count_words, "piece long, data binary").groupBy("piece").applyInArrow(write_words, "piece long, words long, tokens long")
@@ -351,7 +347,7 @@ def train(texts: DataFrame) -> NgramModel:
                 m, m_low, contexts = EliasFano.build(own - shift, int(own[-1]) - shift + 1)
                 _, p_low, pointers = EliasFano.build(np.append(first, len(codes)), len(codes) + 1)
                 n, n_low, successors = EliasFano.build(row.astype(np.uint64) * np.uint64(vocabulary) + word.astype(np.uint64), len(own) * vocabulary)
-                _publish(f"{folder}/pairs-{piece}", [*contexts, *pointers, *successors, steps, backoff], [m, m_low, n, n_low, p_low, shift])
+                publish(f"{folder}/pairs-{piece}", [*contexts, *pointers, *successors, steps, backoff], [m, m_low, n, n_low, p_low, shift])
                 yield pa.RecordBatch.from_pydict({"piece": [piece]})
 
     materialize(pairs.select("piece", "data").mapInArrow(write_level, "piece long"), "lm-level")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from depthcal.llm import byte_bpe, elias_fano, hashing, language_id, ngram_lm, quality_classifier, quality_rules, token_files
+from depthcal.llm import byte_bpe, elias_fano, hashing, language_id, ngram_lm, quality_classifier, quality_rules, stored, token_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -128,30 +128,18 @@ def test_byte_bpe_matches_the_library(spark, docs):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [t[:600] if t else t for t in ODD] + ["It's  the\n\n  end\u0085of　it's", "café unbelievably antidisestablishmentarianism"]
-    bpe = byte_bpe.production()
-    df = docs(texts).withColumn("n_tokens", F.lit(1))
-    for limit in (1, 1000):
-        rows = bpe.encode(df, limit=limit).select("doc_id", "ids", bpe.decode(F.col("ids")).alias("d"), bpe.as_bytes(F.col("ids")).alias("le")).collect()
-        for r in rows:
-            t = texts[r["doc_id"]] or ""
-            assert r["ids"] == enc.encode_ordinary(t) and bytes(r["d"]).decode() == t
-            assert hashlib.sha256(r["le"]).hexdigest() == hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()
-    assert bpe.encode(docs([])).count() == 0
-
-
-def test_byte_bpe_matches_the_library_on_whole_texts(docs):
-    tiktoken = pytest.importorskip("tiktoken")
-    import public_tokenizers as P
-
-    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ODD
+    rng = random.Random(4)
+    texts = ODD + ["It's  the\n\n  end\u0085of　it's", "café unbelievably antidisestablishmentarianism", "aaaaaaa abababab xxxxxxxy", "\U0001e4d0\u0870 \U0001e4f0",
+                   "".join(rng.choice("abcdefghij") for _ in range(4000)), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)), "=" * 70_000]
     bpe = byte_bpe.production()
-    for r in bpe.encode(docs(texts)).select("doc_id", "ids", bpe.decode(F.col("ids")).alias("d")).collect():
+    df = docs(texts).withColumn("n_tokens", F.lit(1)).withColumn("data", F.lit("clash"))
+    rows = bpe.decode(bpe.encode(df, keep=["doc_id", "n_tokens"])).collect()
+    for r in rows:
         t = texts[r["doc_id"]] or ""
-        assert r["ids"] == enc.encode_ordinary(t) and bytes(r["d"]).decode() == t
+        assert r["ids"] == enc.encode_ordinary(t) and bytes(r["data"]).decode() == t
+        assert bytes(r["raw"]) == np.array(r["ids"], "<u4").tobytes()
+    assert len(rows) == len(texts)
+    assert bpe.decode(bpe.encode(docs([])), data="d").count() == 0
 
 
 # Language ID
@@ -236,8 +224,8 @@ def test_elias_fano_access_and_search(tmp_path):
         values = np.unique(values)
         m, low, parts = elias_fano.EliasFano.build(values, universe)
         with open(tmp_path / "x", "wb") as f:
-            elias_fano.save(f, parts, [m, low])
-        (m, low), parts = elias_fano.load(str(tmp_path / "x"))
+            stored.save(f, parts, [m, low])
+        (m, low), parts = stored.load(str(tmp_path / "x"))
         ef = elias_fano.EliasFano(m, low, parts)
         assert np.array_equal(ef.get(np.arange(m)), values)
         assert np.array_equal(ef.find(values), np.arange(m))
