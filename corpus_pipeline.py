@@ -32,8 +32,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of the documents, and a digest of the bytes that they decode to."""
     bpe = byte_bpe.production()
-    ids = bpe.encode(docs.select("doc_id", "text"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    rows = bpe.decode(bpe.encode(docs, keep=["doc_id"]), keep=["doc_id", "ids"])
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("data", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("near_dedup", deduplicate), ("decontamination", decontaminated), ("byte_bpe", encode)]
