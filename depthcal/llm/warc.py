@@ -1,13 +1,15 @@
 """WARC archives as a Python data source, and a writer that replaces repeated payloads by revisit records.
 
+Archives may be plain, or gzipped in any way; those written here store the length of each member.
+
 The reader plans one partition per group of files, takes equality and membership filters on the record type, the
 record id, the target address, the digest and the reference as pushed predicates, parses a record's headers first and
 doesn't unpack the payload of a record that fails them, nor any where payloads aren't asked for: each record is a
 gzip member of its own, its header block is unpacked alone, and the stream goes ahead by the stored length.
 
 Cases: a null payload counts as empty; rows with a null id get a record without a page id; rows of equal payload give
-one response, under their largest id, and revisits of it, also where a page_id is on rows of different payloads; an
-empty table gives no file and an empty result; further columns are ignored by name.
+one response, under their largest id, and revisits of it, also where a page_id is on rows of different payloads; very long payloads are held one at
+a time; an empty table gives no file and an empty result; further columns are ignored by name.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import hashlib
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ SCHEMA = ("record_id string, record_type string, target_uri string, payload_dige
 HEADER_COLUMNS = {"record_type", "record_id", "target_uri", "payload_digest", "refers_to", "page_id", "refers_to_page_id"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"
+#: Bytes read at a time.
+_READ = 1 << 16
 #: gzip header with an extra field "sl" that holds the member's packed and unpacked lengths.
 _HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"
 
@@ -57,16 +61,89 @@ def record(kind: str, record_id: str, headers: dict[str, str], payload: bytes) -
     return member("\r\n".join(lines).encode() + payload + b"\r\n\r\n")
 
 
-def read_members(stream) -> Iterator[tuple[int, bytes]]:
-    """(unpacked length, member bytes) of each member."""
+class _Source:
+    """Bytes of a file with a look ahead."""
+
+    def __init__(self, stream):
+        self.stream, self.ahead = stream, b""
+
+    def peek(self, n: int) -> bytes:
+        while len(self.ahead) < n and (part := self.stream.read(max(n - len(self.ahead), _READ))):
+            self.ahead += part
+        return self.ahead[:n]
+
+    def read(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.ahead = self.ahead[n:]
+        return out
+
+    def some(self) -> bytes:
+        return self.read(len(self.ahead) or len(self.peek(_READ)))
+
+
+class _Inflated:
+    """The unpacked bytes of gzip members one after the other, read and skipped in pieces."""
+
+    def __init__(self, source: _Source):
+        self.source, self.unpacker = source, None
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if self.unpacker is None:
+                if not self.source.peek(2):
+                    return b""
+                self.unpacker = zlib.decompressobj(31)
+            part = self.unpacker.unconsumed_tail or self.source.some()
+            if not part:
+                raise ValueError("a gzip member without its end")
+            out = self.unpacker.decompress(part, n)
+            if self.unpacker.eof:
+                self.source.ahead = self.unpacker.unused_data + self.source.ahead
+                self.unpacker = None
+            if out:
+                return out
+
+
+def read_records(stream) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
+    """(headers, a function that gives the content) of each record of a plain or gzipped archive.
+
+    The content of a record whose function isn't called is skipped: without unpacking where the member stores its
+    length, as this module's archives do, else piece by piece.
+    """
+    source = _Source(stream)
+    head = source.peek(24)
+    if head[:4] == _HEAD[:4] and head[12:14] == b"sl":
+        while head := source.read(24):
+            if len(head) < 24 or head[:4] != _HEAD[:4] or head[12:14] != b"sl":
+                raise ValueError("not a member with a stored length")
+            data = head + source.read(struct.unpack("<I", head[16:20])[0] - 24)
+            headers = parse_headers(header_block(data))
+            yield headers, lambda data=data, n=int(headers["content-length"]): payload_of(data, n)
+        return
+    flow = _Source(_Inflated(source) if head[:2] == b"\x1f\x8b" else source)
     while True:
-        head = stream.read(24)
-        if not head:
+        while flow.peek(2) == b"\r\n":  # line ends behind a record
+            flow.read(2)
+        if not flow.peek(1):
             return
-        if len(head) < 24 or head[:4] != _HEAD[:4] or head[12:14] != b"sl":
-            raise ValueError("not a member with a stored length")
-        total, length = struct.unpack("<II", head[16:24])
-        yield length, head + stream.read(total - 24)
+        size = 1024
+        while (end := flow.peek(size).find(b"\r\n\r\n")) < 0:
+            if len(flow.ahead) < size:
+                raise ValueError("a record without the end of its headers")
+            size *= 2
+        headers, left = parse_headers(flow.read(end + 4)[:end]), [0]
+        left[0] = int(headers["content-length"])
+
+        def content() -> bytes:
+            out = flow.read(left[0])
+            if len(out) < left[0]:
+                raise ValueError("a record without the end of its content")
+            left[0] = 0
+            return out
+
+        yield headers, content
+        while left[0] and (part := flow.read(min(left[0], _READ))):
+            left[0] -= len(part)
 
 
 def header_block(data: bytes) -> bytes:
@@ -130,14 +207,15 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         for path in partition.paths:
             with open_uri(path, "rb") as stream:
-                for _, packed in read_members(stream):
-                    h = parse_headers(header_block(packed))
+                for h, content in read_records(stream):
                     row = self._row(h)
                     if not all(row[c] is not None and (want is None or row[c] in want) for c, want in self.tests):
                         continue
                     if self.payload:
-                        row["payload"] = payload_of(packed, int(h["content-length"]))
-                        if row["record_type"] == "response" and digest_of(row["payload"]) != row["payload_digest"]:
+                        row["payload"] = content()
+                        if h.get("content-type", "").startswith("application/http"):  # the payload lies behind the message's own headers
+                            row["payload"] = row["payload"].partition(b"\r\n\r\n")[2]
+                        elif row["record_type"] == "response" and row["payload_digest"] not in (None, digest_of(row["payload"])):
                             raise ValueError(f"{path}: the payload of {row['record_id']} doesn't have its digest")
                     yield tuple(row[c] for c in self.columns)
 
@@ -170,15 +248,20 @@ def read_warc(spark: SparkSession, paths: list[str], payload: bool = True, files
             .option("payload", str(payload).lower()).load())
 
 
+#: Repeated payloads (a checksum and an id each) that may be broadcast; beyond it the join shuffles the rows.
+BROADCAST_PAYLOADS = 1_000_000
+
+
 def plan_records(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, leader, sha): leader is the largest page_id of equal payloads.
 
-    The group's leader is found by a checksum of the payload, pre-aggregated where the rows are; only ids and checksums
-    are shuffled for it. Rows of a hot payload are streamed past their single leader row.
+    The group's leader is found by a checksum of the payload, pre-aggregated where the rows are. The leaders of repeated
+    payloads are then broadcast up to a bound, so that only ids and checksums are shuffled.
     """
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"))
     leaders = rows.groupBy("sha").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies"))
-    shared = leaders.where("copies > 1").select("sha", "leader")
+    shared = materialize(leaders.where("copies > 1").select("sha", "leader"), "warc-leaders")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_PAYLOADS else shared
     return rows.join(shared, "sha", "left").select("page_id", "url", "html", F.coalesce("leader", "page_id").alias("leader"), "sha")
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import random
@@ -262,6 +263,21 @@ def test_payloads_stay_packed_behind_filters(spark, monkeypatch, tmp_path):
     assert list(reader.read(reader.partitions()[0])) == [(1,)] and unpacked == [1]
 
 
+@pytest.mark.parametrize("packed", ["plain", "members", "whole"])
+def test_archives_of_other_writers(spark, tmp_path, packed):
+    big = b"x" * 300_000
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>body</p>"
+    parts = []
+    for k, (kind, content, more) in enumerate((("warcinfo", b"software: any\r\n", ""), ("response", http, "Content-Type: application/http; msgtype=response\r\n"), ("resource", big, ""), ("metadata", b"", ""))):
+        parts.append(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{k}>\r\n{more}Content-Length: {len(content)}\r\n\r\n".encode() + content + b"\r\n\r\n")
+    path = tmp_path / "x.warc"
+    path.write_bytes({"plain": lambda: b"".join(parts), "members": lambda: b"".join(map(gzip.compress, parts)), "whole": lambda: gzip.compress(b"".join(parts))}[packed]())
+    got = {r["record_type"]: r["payload"] for r in warc.read_warc(spark, [str(path)]).collect()}
+    assert {k: bytes(v) for k, v in got.items()} == {"warcinfo": b"software: any\r\n", "response": b"<p>body</p>", "resource": big, "metadata": b""}
+    skipped = warc.read_warc(spark, [str(path)], payload=False).where("record_type = 'metadata'").collect()
+    assert [r["record_id"] for r in skipped] == ["<urn:uuid:3>"] and skipped[0]["payload"] is None
+
+
 def test_pipeline_equals_its_parts(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
