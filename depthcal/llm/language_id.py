@@ -6,7 +6,8 @@ letters turned into spaces, so a prediction is a mean of weights. The machines a
 documents, dealt evenly to the languages and chosen by a hash of their id.
 
 Cases: a null text and a text without a letter give ``und`` with score 0; without labelled rows every text does; one
-learned language is predicted always; repeated rows are predicted each; an empty table gives an empty result; further
+learned language is predicted always; very long texts are counted whole; repeated rows are predicted each, and of a doc_id
+with several languages the first by name is learned; an empty table gives an empty result; further
 columns are ignored by name.
 """
 
@@ -107,12 +108,16 @@ class LanguageModel:
 
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """``labelled``: (doc_id, text, lang). At most ``sample`` rows are used, chosen by a hash of doc_id."""
-    langs = sorted(r["lang"] for r in labelled.select("lang").where("lang is not null").distinct().limit(sample).collect())
-    if not langs:
+    known = labelled.where("lang is not null and text is not null").select("doc_id", "lang")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    if not counts:
         return None
-    each = max(1, sample // len(langs))
-    ranked = labelled.where("lang is not null and text is not null").select("doc_id", "lang").distinct().select(
-        "doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("r"))
+    each = max(1, sample // len(counts))
+    # Below a threshold on the hash there are somewhat more than are wanted of a language, however many rows it has.
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.3 * each + 50) / r["n"])) for r in counts], "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
+    few = known.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("doc_id", "lang").distinct()
+    ranked = few.select("doc_id", "lang", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("r"))
     chosen = ranked.where(F.col("r") <= each).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     rows = labelled.select("doc_id", "text", F.col("lang").alias("own")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
     # One row for each of them, of its own language: repeated ids can't push others out.
