@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,15 @@ _roots: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """A folder of this session inside ``spark.checkpoint.dir``, seen by the driver and all executors.
 
-    Where the setting is absent (tests on one machine), a temporary folder takes its place.
+    Where the setting is absent and all runs on one machine, a temporary folder takes its place; on a cluster it is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not re.match(r"local(\[[^-]|$)", master):
+                raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
             base = "file://" + tempfile.mkdtemp(prefix="depthcal-")
         root = f"{base.rstrip('/')}/depthcal-{app}-{uuid.uuid4().hex[:8]}"
         _roots[app] = root
