@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,10 +41,10 @@ def nullable_float(text: Column) -> Column:
 
 
 def parse_rate(text: Column) -> Column:
-    """A rational such as ``30000/1001``, or a plain number; null where it isn't one."""
-    top = F.element_at(F.split(text, "/"), 1).try_cast("double")
-    under = F.when(F.instr(text, "/") > 0, F.get(F.split(text, "/"), 1).try_cast("double")).otherwise(F.lit(1.0))
-    return F.try_divide(top, under)
+    """A ratio of whole numbers such as ``30000/1001``, or a plain number; null where it is neither."""
+    ratio = F.split(F.trim(text), "/")
+    whole = F.try_divide(F.get(ratio, 0).try_cast("double"), F.get(ratio, 1).try_cast("double"))
+    return F.when(text.rlike(r"^\s*[+-]?\d+/\d+\s*$"), whole).when(text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.trim(text).try_cast("double"))
 
 
 def is_variable_rate(fps: Column, average: Column) -> Column:
@@ -79,13 +80,14 @@ def status_prefix(status: Column) -> Column:
 def model_input_size(width: int, height: int, limit: int = 255_000, unit: int = 14) -> tuple[int, int]:
     """The largest grid of multiples of ``unit`` near the aspect ratio whose area is within ``limit``.
 
-    Rounding is half-even; while the area is too large the side that is long against the wanted ratio gives way.
+    The grid nearest the wanted size (half-even) gives up units in the order of their share of the wanted side, the
+    outermost first and of equals the lower one, until it fits.
     """
     area = width * height
-    factor = math.sqrt(limit / area) if area > 0 else 1.0
-    wanted_w, wanted_h = width * factor, height * factor
-    cols, rows = round(wanted_w / unit), round(wanted_h / unit)
-    while cols * rows * unit * unit > limit:
-        wide = cols * wanted_h > rows * wanted_w
-        cols, rows = cols - wide, rows - (not wide)
+    wanted = [side * math.sqrt(limit / area) if area > 0 else float(side) for side in (width, height)]
+    grid = [round(side / unit) for side in wanted]
+    units = sorted(((k / wanted[axis], axis) for axis in (0, 1) for k in range(1, grid[axis] + 1)), reverse=True)
+    given = np.cumsum([[0, 0], *([axis == 0, axis == 1] for _, axis in units)], axis=0)
+    fits = ((grid - given).prod(1) * unit * unit <= limit).argmax()
+    cols, rows = (grid - given[fits]).tolist()
     return unit * max(cols, 1), unit * max(rows, 1)

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..functions.grouped import map_groups
 from ..functions.numeric import METHODS, MIN_POINTS
 from ..functions.scalar import INF
 from .points import clean
@@ -59,36 +60,51 @@ def fit_theil_sen(points: DataFrame) -> DataFrame:
 
 def fit_piecewise(points: DataFrame) -> DataFrame:
     """Two joined segments: each inner distinct prediction is tried as the joint; the least squared error wins, and of
-    equals the smallest joint. Below four points or without an inner value: one line with an infinite joint."""
+    equals the smallest joint. Below four points or without an inner value: one line with an infinite joint.
+
+    One shuffle by group: the moments of the points up to each joint, and behind it, are running sums in the order of the
+    predictions, taken about the group's means; the errors follow from them in closed form.
+    """
+    g = W.partitionBy("group_key")
     p = clean(points).select("group_key", "pred", "gt_m")
-    whole = p.groupBy("group_key").agg(F.count("*").alias("n_points"), F.min("pred").alias("lo"), F.max("pred").alias("hi"), *line_columns(F.col("pred"), F.col("gt_m"), "la", "lb"))
-    inner = p.join(whole.where("n_points >= 4"), "group_key").where("pred > lo and pred < hi").select("group_key", F.col("pred").alias("k")).distinct()
-    tried = inner.join(p, "group_key")
+    p = p.select("*", F.avg("pred").over(g).alias("cx"), F.avg("gt_m").over(g).alias("cy"))
+    u, w = F.col("pred") - F.col("cx"), F.col("gt_m") - F.col("cy")
+    terms = {"n": F.lit(1.0), "u": u, "w": w, "uu": u * u, "uw": u * w, "ww": w * w}
+    up_to, behind = g.orderBy("pred").rangeBetween(W.unboundedPreceding, 0), g.orderBy(F.desc("pred")).rangeBetween(W.unboundedPreceding, 0)
+    sums = [F.sum(c).over(up_to).alias(f"l_{k}") for k, c in terms.items()] + [F.sum(c).over(behind).alias(f"r_{k}") for k, c in terms.items()]
+    at = [F.sum(c).over(W.partitionBy("group_key", "pred")).alias(f"t_{k}") for k, c in terms.items()]
+    p = p.select("*", u.alias("u"), *sums, *at)
+    lo = {k: F.col(f"l_{k}") for k in terms}
+    hi = {k: F.col(f"r_{k}") - F.col(f"t_{k}") for k in terms}  # without the points at the joint
+    a1 = F.try_divide(lo["uw"] - lo["u"] * lo["w"] / lo["n"], lo["uu"] - lo["u"] * lo["u"] / lo["n"])
+    p = p.select("*", a1.alias("a1"))
+    a1, k = F.col("a1"), F.col("u")
+    p = p.select("*", (a1 * k + (lo["w"] - a1 * lo["u"]) / lo["n"]).alias("h"))
+    h = F.col("h")
+    oo, oz, zz = (hi["uu"] - 2 * k * hi["u"] + k * k * hi["n"], hi["uw"] - h * hi["u"] - k * hi["w"] + k * h * hi["n"], hi["ww"] - 2 * h * hi["w"] + h * h * hi["n"])
+    error = lo["ww"] - lo["w"] * lo["w"] / lo["n"] - a1 * (lo["uw"] - lo["u"] * lo["w"] / lo["n"]) + zz - F.try_divide(oz * oz, oo)
+    inner = (F.col("l_n") > F.col("t_n")) & (F.col("r_n") > F.col("t_n"))
+    joint = F.min_by(F.when(inner, F.col("pred")), F.when(inner, F.struct(error.alias("e"), F.col("pred")))).over(g)
     x, y = F.col("pred"), F.col("gt_m")
-    low = tried.where("pred <= k").groupBy("group_key", "k").agg(F.regr_slope(y, x).alias("a1"), F.regr_intercept(y, x).alias("b1"))
-    both = tried.join(low, ["group_key", "k"])
-    over, pinned = F.col("pred") - F.col("k"), F.col("a1") * F.col("k") + F.col("b1")
-    above = F.col("pred") > F.col("k")
-    high = both.where(above).groupBy("group_key", "k").agg((F.sum(over * (y - pinned)) / F.sum(over * over)).alias("a2"))
-    model = both.join(high, ["group_key", "k"])
-    error = F.when(above, pinned + F.col("a2") * over - y).otherwise(F.col("a1") * x + F.col("b1") - y)
-    scored = model.groupBy("group_key", "k").agg(F.sum(error * error).alias("sse"), F.first("a1").alias("a1"), F.first("b1").alias("b1"), F.first("a2").alias("a2"))
-    best = scored.groupBy("group_key").agg(F.min_by(F.struct("a1", "b1", "a2", "k"), F.struct("sse", "k")).alias("m"))
-    out = whole.join(best, "group_key", "left")
-    return out.select("group_key", "n_points", F.coalesce("m.a1", "la").alias("a1"), F.coalesce("m.b1", "lb").alias("b1"), F.coalesce("m.a2", "la").alias("a2"),
-                      F.coalesce("m.k", F.lit(INF)).alias("k"))
+    p = p.select("group_key", "pred", "gt_m", F.when(F.count("*").over(g) >= 4, joint).alias("k"))
+    # The winning segments are fitted directly.
+    low = F.when(x <= F.col("k"), y)
+    p = p.select("*", F.regr_slope(low, x).over(g).alias("a1"), F.regr_intercept(low, x).over(g).alias("b1"))
+    over = F.when(x > F.col("k"), x - F.col("k"))
+    rise = F.try_divide(F.sum(over * (y - (F.col("a1") * F.col("k") + F.col("b1")))), F.sum(over * over))
+    out = p.groupBy("group_key").agg(F.count("*").alias("n_points"), *line_columns(x, y, "la", "lb"), F.min("a1").alias("a1"), F.min("b1").alias("b1"), rise.alias("a2"), F.min("k").alias("k"))
+    lone = F.col("k").isNull()
+    return out.select("group_key", "n_points", *(F.when(lone, F.col(f"l{c[0]}")).otherwise(F.col(c)).alias(c) for c in ("a1", "b1", "a2")), F.coalesce("k", F.lit(INF)).alias("k"))
 
 
 def _fit_in_pandas(points: DataFrame, method: str, degree: int, robust: bool) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].to_numpy(float) if method == "poly2d" else None
-        pred, gt = pdf["pred"].to_numpy(float), pdf["gt_m"].to_numpy(float)
-        p = numeric.fit(method, pred, gt, v, degree, robust)
-        n = int(numeric.usable(pred, gt, v).sum())
-        return pd.DataFrame({"group_key": [pdf["group_key"].iloc[0]], "n_points": [n], "params": [json.dumps(p)], "coeffs": [p.get("coeffs")]})
+    def run(key, own):
+        v = own["v"] if method == "poly2d" else None
+        p = numeric.fit(method, own["pred"], own["gt_m"], v, degree, robust)
+        return {"group_key": [key], "n_points": [int(numeric.usable(own["pred"], own["gt_m"], v).sum())], "params": [json.dumps(p)], "coeffs": [p.get("coeffs")]}
 
     rows = clean(points, rows=method == "poly2d").select("group_key", "pred", "gt_m", "v")
-    return rows.groupBy("group_key").applyInPandas(run, "group_key string, n_points long, params string, coeffs array<double>")
+    return map_groups(rows, run, "group_key string, n_points long, params string, coeffs array<double>")
 
 
 def fit_poly(points: DataFrame, degree: int = 2) -> DataFrame:

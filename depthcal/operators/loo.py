@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..functions.grouped import map_groups
 from ..functions.numeric import MIN_POINTS
 from ..functions.scalar import INF
 from .points import clean
@@ -54,11 +54,28 @@ def _line(points: DataFrame, x: Column, y: Column, back, method: str) -> DataFra
 
 
 def loo_scale(points: DataFrame) -> DataFrame:
+    """Scales refitted without each point, from sums over the points before and behind it; nothing is subtracted."""
     g = W.partitionBy("group_key")
     x, y = F.col("pred"), F.col("gt_m")
-    p = clean(points).select("group_key", "pred", "gt_m", F.count("*").over(g).alias("n"), F.sum(x * y).over(g).alias("sxy"), F.sum(x * x).over(g).alias("sxx"))
-    value = F.try_divide(F.col("sxy") - x * y, F.col("sxx") - x * x) * x
-    return _residuals(p, value, "scale")
+    p = clean(points).select("group_key", "pred", "gt_m", F.count("*").over(g).alias("n"), F.row_number().over(g.orderBy("pred", "gt_m")).alias("i"))
+    sides = [g.orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col("i"), F.col("i").desc())]
+    p = p.select("*", *(sum((F.coalesce(F.sum(c).over(w), F.lit(0.0)) for w in sides), F.lit(0.0)).alias(k) for k, c in (("sxy", x * y), ("sxx", x * x))))
+    return _residuals(p, F.try_divide(F.col("sxy"), F.col("sxx")) * x, "scale")
+
+
+def loo_scale_robust(points: DataFrame) -> DataFrame:
+    """Median ratios of the other points: the middle ones of the group's ratios in order, one place on where the point
+    left out stands at or before them."""
+    g = W.partitionBy("group_key")
+    p = clean(points).select("group_key", "pred", "gt_m", (F.col("gt_m") / F.col("pred")).alias("ratio"), F.count("*").over(g).alias("n"))
+    p = p.select("*", F.row_number().over(g.orderBy("ratio", "pred", "gt_m")).alias("i"))
+    low = F.floor(F.col("n") / 2)  # places of the middle ones among n - 1 others, from 1
+    high = F.floor((F.col("n") + 1) / 2)
+    middle = {d: F.max(F.when(F.col("i") == low + d, F.col("ratio"))).over(g).alias(f"m{d}") for d in (0, 1, 2)}
+    p = p.select("*", *middle.values())
+    own = lambda place: F.when(F.col("i") <= place, place + 1).otherwise(place)
+    value = lambda place: F.coalesce(*(F.when(own(place) == low + d, F.col(f"m{d}")) for d in (0, 1, 2)))
+    return _residuals(p, (value(low) + value(high)) / 2 * F.col("pred"), "scale")
 
 
 def _residuals(p: DataFrame, value: Column, method: str) -> DataFrame:
@@ -68,18 +85,17 @@ def _residuals(p: DataFrame, value: Column, method: str) -> DataFrame:
 
 def loo(points: DataFrame, method: str, degree: int = 2, robust: bool = False) -> DataFrame:
     """As :func:`loo_linear` for any method."""
-    native = {"scale": loo_scale, "linear": loo_linear, "disparity": loo_disparity}
-    if method in native and not robust:
-        return native[method](points)
+    native = {("scale", False): loo_scale, ("scale", True): loo_scale_robust, ("linear", False): loo_linear, ("disparity", False): loo_disparity, ("disparity", True): loo_disparity}
+    if (method, robust) in native:
+        return native[method, robust](points)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].to_numpy(float) if method == "poly2d" else None
-        gt, plain, refit = numeric.leave_one_out(method, pdf["pred"].to_numpy(float), pdf["gt_m"].to_numpy(float), v, degree, robust)
-        return pd.DataFrame({"group_key": pdf["group_key"].iloc[0], "gt_m": gt, "err_uncal": plain, "err_cal": np.full(len(gt), np.nan) if refit is None else refit})
+    def run(key, own):
+        v = own["v"] if method == "poly2d" else None
+        gt, plain, refit = numeric.leave_one_out(method, own["pred"], own["gt_m"], v, degree, robust)
+        return {"group_key": [key] * len(gt), "gt_m": gt.tolist(), "err_uncal": plain.tolist(), "err_cal": [None] * len(gt) if refit is None else [None if np.isnan(e) else e for e in refit.tolist()]}
 
     rows = clean(points, rows=method == "poly2d").select("group_key", "pred", "gt_m", "v")
-    out = rows.groupBy("group_key").applyInPandas(run, "group_key string, gt_m double, err_uncal double, err_cal double")
-    return out.withColumn("err_cal", F.when(~F.isnan("err_cal"), F.col("err_cal")))
+    return map_groups(rows, run, "group_key string, gt_m double, err_uncal double, err_cal double")
 
 
 def group_scores(residuals: DataFrame) -> DataFrame:

@@ -159,10 +159,16 @@ def encode_masks(size: pd.Series, mask: pd.Series) -> pd.Series:
     return pd.Series([None if m is None else pack_runs(runs_of(np.asarray(m, bool).reshape(tuple(s)))) for s, m in zip(size, mask, strict=True)])
 
 
-def resize_nearest(values: Column, h: int, w: int, to_h: int, to_w: int) -> Column:
+def resize_nearest(values: Column, h: Column | int, w: Column | int, to_h: Column | int, to_w: Column | int) -> Column:
     """Nearest neighbour, the pixel under the corner of each target pixel."""
-    at = [int(y * h / to_h) * w + int(x * w / to_w) for y in range(to_h) for x in range(to_w)]
-    return F.transform(F.lit(at) if at else F.array(), lambda i: F.get(values, i))
+    h, w, to_h, to_w = (F.lit(n) if isinstance(n, int) else n for n in (h, w, to_h, to_w))
+    places = lambda n, to: F.when(to > 0, F.transform(F.sequence(F.lit(0), to - 1), lambda k: F.floor(k * n / to).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(places(h, to_h), lambda y: F.transform(places(w, to_w), lambda x: F.get(values, y * w + x))))
+
+
+def resize_nearest_array(mask: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    rows, columns = (np.arange(to) * n // to for n, to in zip(mask.shape, shape, strict=True))
+    return mask if mask.shape == tuple(shape) else mask[np.ix_(rows, columns)]
 
 
 def _cubic(n: int, to: int) -> np.ndarray:

@@ -73,6 +73,28 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1e0 + (vec_id * 7 % 40) / 2e0").alias("distance_gt"))
 
 
+def filed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point for each frame of :func:`frames`, its group as a camera; a third has no instance, a third the second one."""
+    return frames(spark, sf_dir).selectExpr("concat('cam', cast(grp AS string)) AS group_key", "concat('cam', cast(grp AS string)) AS video_name", "cast(frame_id AS int) AS frame_idx",
+                                            "CASE frame_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 END AS instance_idx", "5e0 + (frame_id * 13 % 17) / 4e0 AS pred",
+                                            "distance_gt AS gt_m", "0.5e0 AS v", "frame_id AS ord")
+
+
+def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maps of :func:`frames`, of which some are missing."""
+    return frames(spark, sf_dir).where("frame_id % 7 <> 3").selectExpr("concat('cam', cast(grp AS string)) AS video_name", "cast(frame_id AS int) AS frame_idx", "h", "w", "depth")
+
+
+def mask_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks of :func:`frames` and, as a second instance, their complements, as run lengths; some files are missing."""
+    from ..operators.maps import encode_masks
+
+    size = F.array("h", "w")
+    both = frames(spark, sf_dir).where("frame_id % 11 <> 5").withColumns({"c0": encode_masks(size, F.col("mask")), "c1": encode_masks(size, F.transform("mask", lambda m: ~m))})
+    one = [F.struct(F.lit(k).alias("instance_idx"), F.struct(size.alias("size"), F.col(f"c{k}").alias("counts")).alias("rle")) for k in (0, 1)]
+    return both.select(F.concat(F.lit("cam"), F.col("grp").cast("string")).alias("video_name"), F.col("frame_id").cast("int").alias("frame_idx"), F.array(*one).alias("instances"))
+
+
 def _select(text: str, source: str) -> str:
     return f"SELECT {', '.join(_exprs(text))} FROM {source}"
 
@@ -90,5 +112,7 @@ CTES = {
        cast(floor(pos / 8) AS int) BETWEEN vec_id % 4 AND vec_id % 4 + 3 AND pos % 8 BETWEEN vec_id % 5 AND vec_id % 5 + 3 AS in_mask,
        1e0 + (vec_id * 7 % 40) / 2e0 AS distance_gt
 FROM (SELECT vec_id, label, unnest(range(0, 64)) AS pos, unnest(embedding) AS e FROM embeddings)""",
+    "f_filed": """SELECT *, CASE WHEN instance = 1 THEN NOT in_mask ELSE in_mask END AS subject FROM (SELECT *, CASE frame_id % 3 WHEN 2 THEN 1 ELSE 0 END AS instance,
+       frame_id % 7 <> 3 AND frame_id % 11 <> 5 AS there FROM f_pixels)""",
     "f_exclusions": "SELECT DISTINCT video_name, frame_idx FROM f_results WHERE distance_gt >= 48",
 }

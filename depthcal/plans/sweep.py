@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..functions.grouped import map_groups
 from ..operators.align import align_groups, align_ransac, aligned_subject, pick_reference
 from ..operators.loo import BUCKETS
 from ..operators.points import KEY, by_camera, by_clip, load_points
@@ -69,28 +68,29 @@ def sweep(results: DataFrame, exclusions: DataFrame | None = None, maps: DataFra
         p = p.select("group_key", "pred", "gt_m", "v", F.lit(f"{anchor}/{align}/{reference}").alias("loaded"))
         points = p if points is None else points.union(p)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+    def run(key, group):
+        rows: dict[str, list] = {n: [] for n in names}
         for ord_, (anchor, align, reference, method, degree, robust) in combos:
-            own = pdf[pdf["loaded"] == f"{anchor}/{align}/{reference}"]
-            if own.empty:
+            use = group["loaded"] == f"{anchor}/{align}/{reference}"
+            if not use.any():
                 continue
-            gt, plain, refit = numeric.leave_one_out(method, own["pred"], own["gt_m"], own["v"], degree or 2, bool(robust))
+            gt, plain, refit = numeric.leave_one_out(method, group["pred"][use], group["gt_m"][use], group["v"][use], degree or 2, bool(robust))
             row = {"sweep_ord": ord_, "scored": refit is not None}
             if refit is not None:
-                row |= {"uncal": plain.mean(), "cal": refit.mean()}
-                for name, lo, hi in BUCKETS:
-                    inside = (gt >= lo) & (gt < hi)
-                    row |= {f"{name}_n": int(inside.sum()), f"{name}_u": plain[inside].sum(), f"{name}_c": refit[inside].sum()}
-            rows.append(row)
-        names = ["sweep_ord", "scored", "uncal", "cal", *(f"{b[0]}_{k}" for b in BUCKETS for k in "nuc")]
-        out = pd.DataFrame(rows, columns=names)
-        for b in BUCKETS:
-            out[f"{b[0]}_n"] = out[f"{b[0]}_n"].fillna(0).astype(np.int64)
-        return out
+                row |= {"uncal": float(plain.mean()), "cal": float(refit.mean())}
+            for name, lo, hi in BUCKETS:
+                inside = (gt >= lo) & (gt < hi)
+                row[f"{name}_n"] = 0 if refit is None else int(inside.sum())
+                if refit is not None:
+                    row |= {f"{name}_u": float(plain[inside].sum()), f"{name}_c": float(refit[inside].sum())}
+            for n in names:
+                rows[n].append(row.get(n))
+        return rows
 
     kind = "sweep_ord int, scored boolean, uncal double, cal double, " + ", ".join(f"{b[0]}_n long, {b[0]}_u double, {b[0]}_c double" for b in BUCKETS)
-    scores = points.groupBy("group_key").applyInPandas(run, kind)
+    names = [x.split()[0] for x in kind.split(", ")]
+    # Missing coordinates are NaN to numpy, and so unusable.
+    scores = map_groups(points, run, kind)
     means = scores.groupBy("sweep_ord").agg(
         F.count("*").alias("n_groups_total"), F.count_if("scored").alias("n_groups_scored"), F.avg(F.when(F.col("scored"), F.col("uncal"))).alias("mean_loo_mae_uncal"),
         F.avg(F.when(F.col("scored"), F.col("cal"))).alias("mean_loo_mae_cal"), F.count_if(F.col("scored") & (F.col("cal") < F.col("uncal"))).alias("better"),

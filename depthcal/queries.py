@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar
 from .operators import align, calibrators, evaluate, export, loo, maps, points, qc
+from .plans import calibrate as cal
 from .plans import fixtures as fx
 from .plans import sweep as sw
 
@@ -42,11 +43,30 @@ def _line(x: str, y: str, a: str = "a", b: str = "b") -> str:
             f"CASE WHEN count(*) = 1 THEN 0e0 WHEN min({x}) = max({x}) THEN avg({y}) / 2 ELSE regr_intercept({y}, {x}) END AS {b}")
 
 
-def _loo_line(x: str, y: str, value: str) -> str:
+def _loo_line(x: str, y: str, value: str, source: str = "q") -> str:
     """Residuals of lines refitted by a self-join; ``value`` is the prediction from a, b and pred."""
     return f"""SELECT p.group_key, p.gt_m, abs(p.pred - p.gt_m) AS err_uncal, CASE WHEN p.n >= 3 THEN abs({value} - p.gt_m) END AS err_cal
-      FROM (SELECT *, count(*) OVER (PARTITION BY group_key) AS n FROM q) p
-      LEFT JOIN (SELECT i.id, {_line(f'({x})', f'({y})')} FROM q i JOIN q o ON i.group_key = o.group_key AND i.id <> o.id GROUP BY i.id) f ON p.id = f.id"""
+      FROM (SELECT *, count(*) OVER (PARTITION BY group_key) AS n FROM {source}) p
+      LEFT JOIN (SELECT i.id, {_line(f'({x})', f'({y})')} FROM {source} i JOIN {source} o ON i.group_key = o.group_key AND i.id <> o.id GROUP BY i.id) f ON p.id = f.id"""
+
+
+_THEIL = """SELECT s.id, a, median(o.gt_m - a * o.pred) AS b FROM
+      (SELECT i.id, any_value(i.group_key) AS group_key, coalesce(median((r.gt_m - l.gt_m) / (r.pred - l.pred)), 0) AS a FROM {q} i JOIN {q} l ON l.group_key = i.group_key AND l.id <> i.id
+        LEFT JOIN {q} r ON r.group_key = i.group_key AND r.id <> i.id AND l.pred < r.pred GROUP BY 1) s
+      JOIN {q} o ON o.group_key = s.group_key AND o.id <> s.id GROUP BY 1, 2"""
+
+
+def _residual_ctes(q: str, end: str) -> dict[str, str]:
+    """Leave-one-out residuals over the numbered points ``q`` of the methods that SQL refits by self-joins."""
+    head = f"SELECT p.group_key, p.gt_m, abs(p.pred - p.gt_m) AS err_uncal, CASE WHEN n >= {{least}} THEN abs({{value}} - p.gt_m) END AS err_cal FROM (SELECT *, count(*) OVER (PARTITION BY group_key) AS n FROM {q}) p"
+    scale = f"LEFT JOIN (SELECT i.id, {{s}} AS s FROM {q} i JOIN {q} o ON i.group_key = o.group_key AND i.id <> o.id GROUP BY i.id) f ON p.id = f.id"
+    return {
+        f"res_linear{end}": _loo_line("o.pred", "o.gt_m", "(a * p.pred + b)", q),
+        f"res_disparity{end}": _loo_line("1 / o.pred", "1 / o.gt_m", "(1 / (a / p.pred + b))", q),
+        f"res_scale{end}": f"{head.format(least=2, value='s * p.pred')} {scale.format(s='sum(o.pred * o.gt_m) / sum(o.pred * o.pred)')}",
+        f"res_scale_robust{end}": f"{head.format(least=2, value='s * p.pred')} {scale.format(s='median(o.gt_m / o.pred)')}",
+        f"res_theil_sen{end}": f"{head.format(least=3, value='(a * p.pred + b)')} LEFT JOIN ({_THEIL.format(q=q)}) f ON p.id = f.id",
+    }
 
 
 _CTES = {
@@ -55,11 +75,29 @@ _CTES = {
     "points_kept": _POINTS.format(pred="depth_mask_mean", source="(SELECT r.* FROM f_results r ANTI JOIN f_exclusions e ON r.video_name = e.video_name AND r.frame_idx = e.frame_idx WHERE status = 'processed')"),
     "p": f"SELECT * FROM points {_USABLE}",
     "q": f"SELECT *, row_number() OVER (ORDER BY video_name, frame_idx, instance_idx) AS id FROM points {_USABLE}",
-    "res_linear": _loo_line("o.pred", "o.gt_m", "(a * p.pred + b)"),
-    "res_disparity": _loo_line("1 / o.pred", "1 / o.gt_m", "(1 / (a / p.pred + b))"),
-    "res_scale": """SELECT p.group_key, p.gt_m, abs(p.pred - p.gt_m) AS err_uncal, CASE WHEN n >= 2 THEN abs(s * p.pred - p.gt_m) END AS err_cal
-      FROM (SELECT *, count(*) OVER (PARTITION BY group_key) AS n FROM q) p
-      LEFT JOIN (SELECT i.id, sum(o.pred * o.gt_m) / sum(o.pred * o.pred) AS s FROM q i JOIN q o ON i.group_key = o.group_key AND i.id <> o.id GROUP BY i.id) f ON p.id = f.id""",
+    "q_centroid": f"SELECT *, row_number() OVER (ORDER BY video_name, frame_idx, instance_idx) AS id FROM points_centroid {_USABLE}",
+    **_residual_ctes("q", ""), **_residual_ctes("q_centroid", "_centroid"),
+    # Piecewise refits: every point left out (id), every inner distinct prediction of the others tried as the joint.
+    "others": "SELECT i.id, i.group_key, o.pred, o.gt_m FROM q i JOIN q o ON i.group_key = o.group_key AND i.id <> o.id WHERE i.group_key IN (SELECT group_key FROM q GROUP BY 1 HAVING count(*) >= 5)",
+    "o_ends": f"SELECT id, min(pred) AS lo, max(pred) AS hi, {_line('pred', 'gt_m', 'la', 'lb')} FROM others GROUP BY 1",
+    "o_tried": "SELECT k.id, k.k, o.pred, o.gt_m FROM (SELECT DISTINCT o.id, pred AS k FROM others o JOIN o_ends e ON o.id = e.id WHERE pred > lo AND pred < hi) k JOIN others o ON o.id = k.id",
+    "o_low": "SELECT id, k, regr_slope(gt_m, pred) AS a1, regr_intercept(gt_m, pred) AS b1 FROM o_tried WHERE pred <= k GROUP BY 1, 2",
+    "o_high": "SELECT t.id, t.k, sum((pred - t.k) * (gt_m - (a1 * t.k + b1))) / sum((pred - t.k) * (pred - t.k)) AS a2 FROM o_tried t JOIN o_low l ON l.id = t.id AND l.k = t.k WHERE pred > t.k GROUP BY 1, 2",
+    "o_best": """SELECT id, min_by(struct_pack(a1 := a1, b1 := b1, a2 := a2, k := k), struct_pack(sse := sse, k := k)) AS m FROM (SELECT t.id, t.k, any_value(a1) AS a1, any_value(b1) AS b1, any_value(a2) AS a2,
+      sum(CASE WHEN pred > t.k THEN (a1 * t.k + b1 + a2 * (pred - t.k) - gt_m) ** 2 ELSE (a1 * pred + b1 - gt_m) ** 2 END) AS sse
+      FROM o_tried t JOIN o_low l ON l.id = t.id AND l.k = t.k JOIN o_high h ON h.id = t.id AND h.k = t.k GROUP BY 1, 2) GROUP BY 1""",
+    "res_piecewise": """SELECT p.group_key, p.gt_m, abs(p.pred - p.gt_m) AS err_uncal, CASE WHEN e.id IS NULL THEN NULL ELSE abs(CASE WHEN m IS NULL THEN la * p.pred + lb
+      WHEN p.pred <= m.k THEN m.a1 * p.pred + m.b1 ELSE m.a1 * m.k + m.b1 + m.a2 * (p.pred - m.k) END - p.gt_m) END AS err_cal FROM q p LEFT JOIN o_ends e ON e.id = p.id LEFT JOIN o_best b ON b.id = p.id""",
+    # Alignment on files: references by distance, the gate on the number of points, and what falls back.
+    "c_refs": "SELECT grp, frame_id AS reference FROM (SELECT grp, frame_id, there, row_number() OVER (PARTITION BY grp ORDER BY distance_gt DESC, frame_id) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT DISTINCT grp, frame_id, distance_gt, there FROM f_filed)) WHERE rn = 1 AND there AND n >= 45",
+    "c_bg": """SELECT f.frame_id, f.depth AS x, r.depth AS y FROM f_filed f JOIN c_refs c ON c.grp = f.grp JOIN f_filed r ON r.frame_id = reference AND r.pos = f.pos
+      WHERE f.there AND NOT f.subject AND NOT r.subject AND NOT isnan(f.depth) AND NOT isnan(r.depth)""",
+    "c_line": f"SELECT frame_id, count(*) AS n, {_line('x', 'y')} FROM c_bg GROUP BY 1",
+    "c_value": """SELECT f.frame_id, median(CASE WHEN f.frame_id = reference OR coalesce(n, 0) < 8 THEN depth ELSE a * depth + b END) AS value FROM f_filed f JOIN c_refs c ON c.grp = f.grp
+      LEFT JOIN c_line l ON l.frame_id = f.frame_id WHERE there AND subject AND NOT isnan(depth) GROUP BY 1""",
+    "c_q": f"""SELECT *, frame_id AS id FROM (SELECT concat('cam', cast(p.grp AS string)) AS group_key, p.frame_id, coalesce(value, 5e0 + (p.frame_id * 13 % 17) / 4e0) AS pred, distance_gt AS gt_m, reference
+      FROM (SELECT DISTINCT grp, frame_id, distance_gt FROM f_filed) p LEFT JOIN c_refs c ON c.grp = p.grp LEFT JOIN c_value v ON v.frame_id = p.frame_id) {_USABLE}""",
+    "c_res": _loo_line("o.pred", "o.gt_m", "(a * p.pred + b)", "c_q"),
     "scores": "SELECT group_key, count(*) AS n_points, avg(err_uncal) AS u, avg(err_cal) AS c FROM res_linear GROUP BY 1",
     "last_list": "SELECT anno, max(ori) AS ori FROM f_video_list WHERE anno IS NOT NULL GROUP BY 1",
     "flags": """SELECT a.*, reason FROM (SELECT a.*, f.fps, f.duration_s FROM f_annotations a LEFT JOIN f_video_fps f ON a.video_name = f.video_name) a,
@@ -286,12 +324,13 @@ for _method, _source in (("scale", "res_scale"), ("linear", "res_linear"), ("dis
 
     query(f"loo_{_method}", _score_sql(_source), *_Q, _source)(_run)
 
-for _name, _method, _options in (("loo_theil_sen", "linear", {"robust": True}), ("loo_piecewise", "piecewise", {}), ("loo_poly", "poly", {"degree": 2}), ("loo_poly2d", "poly2d", {}),
-                                 ("loo_scale_robust", "scale", {"robust": True})):
+_PIECES = ("others", "o_ends", "o_tried", "o_low", "o_high", "o_best", "res_piecewise")
+for _name, _method, _options, _ctes in (("loo_theil_sen", "linear", {"robust": True}, ("res_theil_sen",)), ("loo_piecewise", "piecewise", {}, _PIECES), ("loo_poly", "poly", {"degree": 2}, ()),
+                                        ("loo_poly2d", "poly2d", {}, ()), ("loo_scale_robust", "scale", {"robust": True}, ("res_scale_robust",))):
     def _run(spark, sf_dir, method=_method, options=_options):
         return _scores(loo.loo(_points(spark, sf_dir), method, **options))
 
-    query(_name)(_run)
+    query(_name, _score_sql(_ctes[-1]) if _ctes else None, *_Q, *_ctes)(_run)
 
 
 @query("loo_summary", """SELECT count(*) AS n_groups_total, count(c) AS n_groups_scored, round(avg(u) FILTER (WHERE c IS NOT NULL), 6) AS mean_loo_mae_uncal, round(avg(c), 6) AS mean_loo_mae_cal,
@@ -343,6 +382,58 @@ def sweep_ranked(spark, sf_dir):
     return _round(out, *(c for c, kind in out.dtypes if kind == "double"))
 
 
+_COMBOS = [(anchor, method, robust, f"res_{name}{end}") for anchor, end in (("mask_mean", ""), ("centroid", "_centroid"))
+           for method, robust, name in (("scale", False, "scale"), ("scale", True, "scale_robust"), ("linear", False, "linear"), ("linear", True, "theil_sen"), ("disparity", None, "disparity"))]
+_SWEEP_BUCKETS = ", ".join(f"""coalesce(sum(n) FILTER (WHERE gt_m >= {lo} AND gt_m < {hi} AND c IS NOT NULL), 0)::BIGINT AS {b}_n, round(sum(u) FILTER (WHERE gt_m >= {lo} AND gt_m < {hi} AND c IS NOT NULL)
+  / sum(n) FILTER (WHERE gt_m >= {lo} AND gt_m < {hi} AND c IS NOT NULL), 6) AS {b}_mae_uncal, round(sum(c) FILTER (WHERE gt_m >= {lo} AND gt_m < {hi}) / sum(n) FILTER (WHERE gt_m >= {lo} AND gt_m < {hi} AND c IS NOT NULL), 6) AS {b}_mae_cal"""
+                           for b, lo, hi in (("close", 1, 4), ("medium", 4, 8), ("long", 8, "1e300")))
+
+
+def _swept_sql(i: int, anchor: str, method: str, robust: bool | None, source: str) -> str:
+    return f"""SELECT {i} AS sweep_ord, '{anchor}' AS anchor, '{method}' AS method, cast({'NULL' if robust is None else str(robust).lower()} AS boolean) AS robust, g.*, b.* FROM
+      (SELECT count(*) AS n_groups_total, count(c) AS n_groups_scored, round(avg(u) FILTER (WHERE c IS NOT NULL), 6) AS mean_loo_mae_uncal, round(avg(c), 6) AS mean_loo_mae_cal,
+        round(avg(u) FILTER (WHERE c IS NOT NULL) - avg(c), 6) AS mean_improvement, round(100.0 * count(*) FILTER (WHERE c < u) / count(c), 6) AS pct_groups_improved
+        FROM (SELECT group_key, avg(err_uncal) AS u, avg(err_cal) AS c FROM {source} GROUP BY 1)) g,
+      (SELECT {_SWEEP_BUCKETS} FROM (SELECT gt_m, err_uncal AS u, err_cal AS c, 1 AS n FROM {source})) b"""
+
+
+_SWEPT = " UNION ALL ".join(_swept_sql(i, *c) for i, c in enumerate(_COMBOS))
+_SWEEP_CTES = ("f_results", "points", "q", "points_centroid", "q_centroid", *(c[-1] for c in _COMBOS))
+_SWEEP_COLUMNS = ["sweep_ord", "anchor", "method", "robust", "n_groups_total", "n_groups_scored", "mean_loo_mae_uncal", "mean_loo_mae_cal", "mean_improvement", "pct_groups_improved",
+                  *(f"{b}_{c}" for b in ("close", "medium", "long") for c in ("n", "mae_uncal", "mae_cal"))]
+
+
+def _swept(spark, sf_dir) -> DataFrame:
+    return sw.sweep(fx.results(spark, sf_dir), methods=("scale", "linear", "disparity")).select(_SWEEP_COLUMNS)
+
+
+@query("sweep_lines", _SWEPT, *_SWEEP_CTES)
+def sweep_lines(spark, sf_dir):
+    """The combinations whose refits SQL can repeat."""
+    out = _swept(spark, sf_dir)
+    return _round(out, *(c for c, kind in out.dtypes if kind == "double"))
+
+
+@query("sweep_lines_ranked", f"SELECT * FROM ({_SWEPT}) ORDER BY mean_improvement DESC NULLS LAST, sweep_ord LIMIT 4", *_SWEEP_CTES)
+def sweep_lines_ranked(spark, sf_dir):
+    out = sw.ranked(_swept(spark, sf_dir), n=4)
+    return _round(out, *(c for c, kind in out.dtypes if kind == "double"))
+
+
+@query("calibrate_aligned", f"""SELECT 'cam' AS calib_level, f.group_key, 'linear' AS method, 'mask_mean' AS anchor, n_points, round(a, 5) AS a, round(b, 5) AS b, round(u, 6) AS loo_mae_uncal,
+  round(c, 6) AS loo_mae_cal, round(u - c, 6) AS improvement, 'least_squares' AS align_method, reference IS NOT NULL AS align_applied, CASE WHEN reference IS NULL THEN NULL ELSE f.group_key END AS align_ref_video,
+  cast(reference AS int) AS align_ref_frame_idx, CASE reference % 3 WHEN 1 THEN 0 WHEN 2 THEN 1 END AS align_ref_instance_idx
+  FROM (SELECT group_key, any_value(reference) AS reference, count(*) AS n_points, {_line('pred', 'gt_m')} FROM c_q GROUP BY 1) f
+  JOIN (SELECT group_key, avg(err_uncal) AS u, avg(err_cal) AS c FROM c_res GROUP BY 1) r ON r.group_key = f.group_key""", "f_pixels", "f_filed", "c_refs", "c_bg", "c_line", "c_value", "c_q", "c_res")
+def calibrate_aligned(spark, sf_dir):
+    """Points aligned on maps and masks, with the gate and the fall-backs, fitted and reported."""
+    fits, _ = cal.calibrate(fx.filed_points(spark, sf_dir), "linear", calib_level="cam", maps=fx.map_files(spark, sf_dir), masks=fx.mask_files(spark, sf_dir), align="least_squares", min_points=45)
+    number = lambda k, n: F.round(F.get_json_object("params", f"$.{k}").cast("double"), n).alias(k)
+    out = fits.select("calib_level", "group_key", "method", "anchor", "n_points", number("a", 5), number("b", 5), "loo_mae_uncal", "loo_mae_cal", "improvement", "align_method",
+                      "align_applied", "align_ref_video", "align_ref_frame_idx", "align_ref_instance_idx")
+    return _round(out, "loo_mae_uncal", "loo_mae_cal", "improvement")
+
+
 @query("ref_frame_furthest", "SELECT grp, reference FROM refs_furthest", "f_pixels", "refs_furthest")
 def ref_frame_furthest(spark, sf_dir):
     return align.pick_reference(fx.frames(spark, sf_dir))
