@@ -22,6 +22,25 @@ def synthetic_backend(frames: np.ndarray) -> np.ndarray:
     return (1 + grey * (10 / (1 + grey.mean()))).astype(np.float32)
 
 
+def device_of(choice: str = "auto") -> str:
+    """The device that a model is to use: ``cpu``, ``cuda``, or for ``auto`` the latter where a worker has it."""
+    if choice not in ("auto", "cpu", "cuda"):
+        raise ValueError(f"unknown device {choice}")
+    if choice != "auto":
+        return choice
+    try:
+        import torch
+    except ImportError:
+        return "cpu"
+    return "cuda" if torch.cuda.is_available() else "cpu"
+
+
+def on_device(backend: Callable, choice: str = "auto") -> Backend:
+    """A backend that takes ``device`` as a keyword, bound to the device of the worker that runs it."""
+    device_of(choice)
+    return lambda frames: backend(frames, device=device_of(choice))
+
+
 def estimate_depth(frames: DataFrame, backend: Backend = synthetic_backend) -> DataFrame:
     """(video_name, frame_idx, h, w, depth, status) of frames (video_name, frame_idx, h, w, pixels), jointly for a video.
 
@@ -58,8 +77,9 @@ def fan_out(annotations: DataFrame, reduced: DataFrame) -> DataFrame:
 
 
 def resolve_videos(annotations: DataFrame, videos: DataFrame) -> DataFrame:
-    """Annotations with the path of their video; ``video_missing`` where the list has none."""
-    last = videos.where(F.col("anno").isNotNull()).groupBy("anno").agg(F.max("ori").alias("path"))
+    """Annotations with the path of their video; ``video_missing`` where the list has none. The last of repeated names wins."""
+    order = F.col("row") if "row" in videos.columns else F.col("ori")
+    last = videos.where(F.col("anno").isNotNull()).groupBy("anno").agg(F.max_by("ori", order).alias("path"))
     out = annotations.join(last, annotations.video_name == last.anno, "left").drop("anno")
     return out.withColumn("status", F.when(F.col("path").isNull(), "video_missing"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 
@@ -84,15 +83,15 @@ def pair_png(h: pd.Series, w: pd.Series, original: pd.Series, calibrated: pd.Ser
 
 
 def write_panels(panels: DataFrame, folder: str) -> DataFrame:
-    """Write (name, png) rows below a mounted folder; a panel that fails is left out. Returns the names written."""
+    """Write (name, png) rows; a panel that fails is left out. Returns the names written."""
+    from ..sources.files import put_file
+
     def save(batches):
-        os.makedirs(folder, exist_ok=True)
         for pdf in batches:
             done = []
             for name, data in zip(pdf["name"], pdf["png"], strict=True):
                 try:
-                    with open(os.path.join(folder, name), "wb") as f:
-                        f.write(data)
+                    put_file(folder, name, bytes(data))
                     done.append(name)
                 except (OSError, TypeError):
                     continue

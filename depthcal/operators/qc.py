@@ -55,6 +55,11 @@ def collect_flags(annotations: DataFrame, fps: DataFrame, max_distance: float =
     return joined.select(*annotations.columns, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select(*annotations.columns, "f.reason", "f.detail")
 
 
+def in_file_order(flags: DataFrame, order: str = "ord") -> DataFrame:
+    """Flags in the order of their rows, those of one row in the order of the rules."""
+    return flags.orderBy(order, F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")))
+
+
 def apply_fixes(annotations: DataFrame, fps: DataFrame, max_distance: float = 100.0, mode: str = "nan") -> DataFrame:
     """Annotations without disqualified rows, frame_idx from the timestamp where the video is known.
 

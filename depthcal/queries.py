@@ -204,6 +204,13 @@ def qc_flag_details(spark, sf_dir):
     return qc.collect_flags(_numbered(spark, sf_dir), fx.video_fps(spark, sf_dir)).select("row_id", "reason", "detail")
 
 
+@query("qc_flags_first", """SELECT row_id, reason FROM flags ORDER BY row_id,
+  list_position(['VIDEO_NOT_ON_DISK', 'FRAME_IDX_FPS_MISMATCH', 'TIMESTAMP_PAST_END', 'ABSURD_DISTANCE', 'ZERO_DISTANCE'], reason) LIMIT 50""", *_A, "flags")
+def qc_flags_first(spark, sf_dir):
+    """The head of the flags file."""
+    return qc.in_file_order(qc.collect_flags(_numbered(spark, sf_dir), fx.video_fps(spark, sf_dir)), "row_id").limit(50).select("row_id", "reason")
+
+
 @query("qc_counts_reason", "SELECT reason, count(*) AS n FROM flags GROUP BY 1", *_A, "flags")
 def qc_counts_reason(spark, sf_dir):
     return qc.counts_by_reason(_flags(spark, sf_dir))
@@ -568,10 +575,10 @@ def export_pairs(spark, sf_dir):
 
 @query("instance_order", """SELECT video_name, frame_idx, instance_idx, row_number() OVER (PARTITION BY video_name, frame_idx ORDER BY v, instance_idx NULLS FIRST) - 1 AS place FROM points""", "f_results", "points")
 def instance_order(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("video_name", "frame_idx").orderBy("v", "instance_idx")
-    return _points(spark, sf_dir).select("video_name", "frame_idx", "instance_idx", (F.row_number().over(order) - 1).cast("long").alias("place"))
+    one = F.struct("instance_idx", F.lit(1).alias("area"), F.col("v").alias("center_x"))
+    found = _points(spark, sf_dir).groupBy("video_name", "frame_idx").agg(F.sort_array(F.collect_list(one)).alias("found"))
+    numbered = found.select("video_name", "frame_idx", F.explode(maps.number_instances(F.col("found"))).alias("m"))
+    return numbered.select("video_name", "frame_idx", F.col("m.instance.instance_idx").alias("instance_idx"), F.col("m.instance_idx").cast("long").alias("place"))
 
 
 @query("fits_report", f"""SELECT 'clip' AS calib_level, f.group_key, 'linear' AS method, 'mask_mean' AS anchor, f.n_points, round(a, 6) AS a, round(b, 6) AS b, round(u, 6) AS loo_mae_uncal, round(c, 6) AS loo_mae_cal, round(u - c, 6) AS improvement

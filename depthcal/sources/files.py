@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import subprocess
 import zipfile
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.scalar import flat_name, general_format, parse_rate
+from ..functions.scalar import flat_name, frame_file, general_format, parse_rate
 
 VIDEO_SUFFIX = r"(?i)\.(avi|mp4|mov)$"
 
@@ -66,10 +67,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.drop("ord").write.mode("overwrite").csv(path, header=True, nullValue="")
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """The columns of the results file, in its order."""
+    write_csv(results.select(*schemas.RESULTS.fieldNames()), path)
+
+
 def list_videos(spark: SparkSession, root: str) -> DataFrame:
-    """Paths below ``root`` that name a video. Only the path is read."""
+    """Paths below ``root`` that name a video, in order. Only the path is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path").where(F.col("path").rlike(VIDEO_SUFFIX))
+    return files.select("path").where(F.col("path").rlike(VIDEO_SUFFIX)).orderBy("path")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -92,23 +98,77 @@ def npy_bytes(depth, h: int, w: int, kind: str = "float32") -> bytes:
     return out.getvalue()
 
 
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Write a file below a folder, a mounted one or one of a store's URI. It appears whole, and a repeated task replaces it."""
+    if "://" in folder and not folder.startswith("file:"):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        with store.open_output_stream(f"{path}/{name}") as out:
+            out.write(data)
+        return
+    root = folder.removeprefix("file://").removeprefix("file:")
+    os.makedirs(root, exist_ok=True)
+    passing = os.path.join(root, f".{name}.{os.getpid()}")
+    with open(passing, "wb") as f:
+        f.write(data)
+    os.replace(passing, os.path.join(root, name))
+
+
 def write_npy(maps: DataFrame, folder: str, kind: str = "float32") -> DataFrame:
-    """Write (name, h, w, depth) rows as files below a mounted folder; returns their names. A repeated task overwrites."""
+    """Write (name, h, w, depth) rows as files; returns their names."""
     def save(batches):
-        import os
-
-        os.makedirs(folder, exist_ok=True)
         for pdf in batches:
             for name, h, w, depth in zip(pdf["name"], pdf["h"], pdf["w"], pdf["depth"], strict=True):
-                passing = os.path.join(folder, f".{name}.{os.getpid()}")
-                with open(passing, "wb") as f:
-                    f.write(npy_bytes(depth, h, w, kind))
-                os.replace(passing, os.path.join(folder, name))
+                put_file(folder, name, npy_bytes(depth, h, w, kind))
             yield pdf[["name"]]
 
     return maps.select("name", "h", "w", "depth").mapInPandas(save, "name string")
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write (name, content) rows as files; returns their names."""
+    def save(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                put_file(folder, name, bytes(content))
+            yield pdf[["name"]]
+
+    return rows.select("name", "content").mapInPandas(save, "name string")
+
+
+def write_masks(frames: DataFrame, folder: str) -> DataFrame:
+    """Write one JSON file for each frame (video_name, frame_idx, instances); returns their names. ``instances``: structs
+    of center_xy, area_px and rle in the order of their place, which becomes instance_idx."""
+    numbered = F.transform("instances", lambda m, i: F.struct(i.alias("instance_idx"), m["center_xy"].alias("center_xy"), m["area_px"].alias("area_px"), m["rle"].alias("rle")))
+    return write_files(frames.select(frame_file(F.col("video_name"), F.col("frame_idx"), "masks.json").alias("name"), masks_json(numbered).cast("binary").alias("content")), folder)
+
+
+def write_pairs(pairs: DataFrame, folder: str) -> DataFrame:
+    """Write a paired export (path of the map, video_name, frame_idx, h, w, pixels): the map's file unchanged below
+    ``depth_maps``, the frame as PNG below ``frames``; returns the names."""
+    from ..operators.panels import png
+
+    spark = pairs.sparkSession
+    paths = [r["path"] for r in pairs.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().collect()]  # one row for each folder of maps
+    if not paths:
+        return spark.createDataFrame([], "name string")
+    contents = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    rows = pairs.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(contents, "path")
+
+    def save(batches):
+        for pdf in batches:
+            for path, stem, h, w, pixels, content in zip(pdf["path"], pdf["stem"], pdf["h"], pdf["w"], pdf["pixels"], pdf["content"], strict=True):
+                image = np.clip(np.rint(np.asarray(pixels, float)), 0, 255).astype(np.uint8).reshape(int(h), int(w), -1)
+                put_file(f"{folder}/frames", f"{stem}.png", png(np.repeat(image, 3, 2) if image.shape[2] == 1 else image))
+                put_file(f"{folder}/depth_maps", path.rsplit("/", 1)[1], bytes(content))
+            yield pd.DataFrame({"name": pdf["stem"]})
+
+    stem = F.format_string("%s_frame%06d", "video_name", F.col("frame_idx").cast("int"))
+    return rows.select("path", stem.alias("stem"), "h", "w", "pixels", "content").mapInPandas(save, "name string")
+
+
 def read_masks(spark: SparkSession, path: str) -> DataFrame:
     """(path, instances) of mask files, one JSON array each."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schemas.MASKS).alias("instances"))
@@ -159,10 +219,10 @@ Prober = Callable[[str], dict]
 
 def ffprobe(path: str) -> dict:
     """Rates, duration and frames of the first video stream as text, by the external tool; within a minute."""
-    command = ["ffprobe", "-v", "error", "-select_streams", "v:0", "-show_entries", "stream=r_frame_rate,avg_frame_rate,nb_frames:format=duration", "-of", "json", path]
+    command = ["ffprobe", "-v", "error", "-select_streams", "v:0", "-show_entries", "stream=r_frame_rate,avg_frame_rate,duration,nb_frames", "-of", "json", path]
     found = json.loads(subprocess.run(command, capture_output=True, timeout=60, check=True).stdout)
     stream = found["streams"][0]
-    return {"fps": stream.get("r_frame_rate"), "avg_fps": stream.get("avg_frame_rate"), "nb_frames": stream.get("nb_frames"), "duration_s": found.get("format", {}).get("duration")}
+    return {"fps": stream.get("r_frame_rate"), "avg_fps": stream.get("avg_frame_rate"), "nb_frames": stream.get("nb_frames"), "duration_s": stream.get("duration")}
 
 
 def probe_videos(videos: DataFrame, prober: Prober = ffprobe) -> DataFrame:
