@@ -1,20 +1,24 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie of three levels.
 
 Words are 64-bit hashes. The first level of the trie is the sorted sequence of the hashes of all training words, in
 pieces by hash; a word's place in it is its id. The second level holds, context by context, the ids of the words seen
 after the context, shifted by the context's range so that the whole level is one monotone sequence, in pieces of
 about ``PIECE`` expected pairs that may divide a frequent context. The counts' start of each context is a monotone
-pointer sequence, and a pair is found by a successor search relative to its context. What is left over for unseen
-words is kept with the context, in the last piece that begins at or before it. Probabilities are smoothed by
-interpolated absolute discounting and kept as 16-bit steps of log10. All levels are files in the shared folder that
-workers map into memory; nothing is read to the driver but the pieces' names and totals.
+pointer sequence, and a pair is found by a successor search relative to its context; its place in the level is its id.
+The third level holds in the same way the words seen after each pair, in pieces by the pair's id. What is left over for
+unseen words is kept with the context, of a divided one in the last piece that begins at or before it. Probabilities are
+smoothed by interpolated absolute discounting and kept as 16-bit steps of log10: those of pairs with their share of
+the first level, those of triples without that of the second, which scoring has at hand. All levels are files in the
+shared folder, which workers map into memory, or read piece by piece from a store that can't be mapped; nothing is read
+to the driver but the pieces' names and totals.
 
 Counts are gathered over all training documents: each task merges what it has read and sends packed arrays to the
 piece they belong to. Every text is one sequence with an end token; the end also is the context of the first word.
 
 Cases: a null text counts as empty and has its end token only; an unseen word takes the smoothed share of no count;
-without training documents every token has that share; repeated rows count and are scored each; empty tables give an
-empty result; further columns are ignored by name.
+without training documents every token has that share; a very long text is counted and scored whole; repeated rows
+count and are scored each; empty tables give an empty result; further columns are ignored by name. Pairs and triples are
+kept in 64 bits: a vocabulary whose square, or whose product with the number of pairs, is beyond it is an error.
 """
 
 from __future__ import annotations
@@ -177,7 +181,7 @@ def _level1(folder: str, pieces: tuple, bits: int) -> Level1:
 
 
 def _piece(path: str):
-    """The second level's piece: contexts, pointers, successors, steps."""
+    """A piece of the second or third level: contexts, pointers, successors, steps, spare shares, the first context."""
     (m, m_low, n, n_low, p_low, base), arrays = load_cached(path)
     contexts = EliasFano(m, m_low, arrays[:5])
     pointers = EliasFano(m + 1, p_low, arrays[5:10])
@@ -185,6 +189,17 @@ def _piece(path: str):
     return contexts, pointers, successors, arrays[15], arrays[16], base
 
 
+def _distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, the number of each element's value)."""
+    order = np.argsort(x, kind="stable")
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[order[1:]], x[order[:-1]], out=new[1:])
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[order[new]], order[new], back
+
+
 class NgramModel:
     """What a scorer needs to open the mapped levels: names, first ids and totals of the pieces."""
 
@@ -192,25 +207,47 @@ class NgramModel:
         self.folder, self.word_pieces, self.bits, self.pieces = folder, tuple(words), bits, pieces
         self.present = sorted(starts)
         self.starts = np.array([starts[p] for p in self.present], np.int64)
+        self.first_pair, self.pairs, self.triples = np.zeros(len(starts) + 1, np.int64), 0, frozenset()
+
+    def number_pairs(self, sizes: dict[int, int]) -> None:
+        """Set the ids of the pairs from the number in each piece."""
+        self.first_pair = np.cumsum([0, *(sizes[p] for p in self.present)])
+        self.pairs = int(self.first_pair[-1])
 
     def level1(self) -> Level1:
         return _level1(self.folder, self.word_pieces, self.bits)
 
+    def triple_piece(self, pair: np.ndarray) -> np.ndarray:
+        """The piece of the triples that begin with a pair; monotone."""
+        return pair // max(1, -(-self.pairs // self.pieces))
+
     def score(self, tokens: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         """Sums by text: tokens, known tokens, log10 of the base and of the model."""
         one = self.level1()
         ids, counts, before = one.look_up(tokens)
         base = np.log10((counts + 0.5) / (one.tokens + 0.5 * (one.words + 1)))
-        end_id, end_count, end_before = one.look_up(np.array([END]))
         start = np.concatenate([[0], ends[:-1] + 1])
-        context = np.empty_like(ids)
-        context[1:] = ids[:-1]
-        c_before, c_count = np.empty_like(before), np.empty_like(counts)
-        c_before[1:], c_count[1:] = before[:-1], counts[:-1]
+        pair, scores = self.pair_scores(one, ids, counts, before, start, base)
+        scores = self.triple_scores(one, ids, pair, start, scores)
+        known = (counts > 0).astype(np.int64)
+        return {"n_tokens": np.diff(np.append(start, len(tokens))), "n_known": np.add.reduceat(known, start),
+                "base_score": np.add.reduceat(base, start), "score": np.add.reduceat(scores, start)}
+
+    def pair_scores(self, one: Level1, ids, counts, before, start, base) -> tuple[np.ndarray, np.ndarray]:
+        """(id of the pair that ends at each token or -1, log10 of the second level) from the tokens' ids, counts and ranks."""
+        end_id, end_count, end_before = one.look_up(np.array([END]))
+        context, c_before, c_count = np.empty_like(ids), np.empty_like(before), np.empty_like(counts)
+        context[1:], c_before[1:], c_count[1:] = ids[:-1], before[:-1], counts[:-1]
         context[start], c_before[start], c_count[start] = end_id[0], end_before[0], end_count[0]
-        scores = base.copy()
+        scores, pair = base.copy(), np.full(len(ids), -1)
         both = np.flatnonzero(context >= 0)  # after an unseen context only the word's own share is known
-        own, back = np.unique(context[both], return_inverse=True)
+        if not len(both) or not self.present:
+            return pair, scores
+        # Each distinct pair, or context of an unseen word, is looked up once.
+        code, at_first, back = _distinct_of(context[both].astype(np.uint64) * np.uint64(one.words + 1) + (ids[both] + 1).astype(np.uint64))
+        token = both[at_first]
+        turn = np.flatnonzero(np.append(True, context[token][1:] != context[token][:-1]))
+        own, context_of = context[token][turn], np.repeat(np.arange(len(turn)), np.diff(np.append(turn, len(token))))
         home = np.searchsorted(self.starts, own, "right") - 1
         place = np.full(len(own), -1)
         backoff, span = np.zeros(len(own)), np.zeros((2, len(own)), np.int64)
@@ -220,29 +257,62 @@ class NgramModel:
             rows, at = rows[at >= 0], at[at >= 0]
             place[rows], backoff[rows] = at, spare[at] / STEPS
             span[0, rows], span[1, rows] = pointers.get(at), pointers.get(at + 1)
-        scores[both] -= backoff[back]
-        seen = np.flatnonzero(ids[both] >= 0)
-        rows, back = both[seen], back[seen]
+        score, number = base[token] - backoff[context_of], np.full(len(token), -1)
+        seen = np.flatnonzero(ids[token] >= 0)
+        rows = token[seen]
         piece = piece_of(c_before[rows], c_count[rows], before[rows], one.tokens, self.pieces)
         for i, part in _groups(np.searchsorted(self.present, piece)):
             if i >= len(self.present) or self.present[i] != piece[part[0]]:
                 continue  # no pair fell into that piece
             contexts, pointers, successors, steps, _, shift = _piece(f"{self.folder}/pairs-{self.present[i]}")
-            at, (first, last) = place[back[part]], span[:, back[part]]
-            away = np.flatnonzero(home[back[part]] != i)  # the context goes on in another piece
+            part = seen[part]
+            of = context_of[part]
+            at, (first, last) = place[of], span[:, of]
+            away = np.flatnonzero(home[of] != i)  # the context goes on in another piece
             if len(away):
-                far = context[rows[part[away]]] - shift
+                far = own[of[away]] - shift
                 at[away] = np.where(far >= 0, contexts.find(np.maximum(far, 0).astype(np.uint64)), -1)
                 away = away[at[away] >= 0]
                 first[away], last[away] = pointers.get(at[away]), pointers.get(at[away] + 1)
             part, first, last, at = part[at >= 0], first[at >= 0], last[at >= 0], at[at >= 0]
             # The successors of a context are its ids raised by the range of the contexts before it.
-            found = successors.find(at.astype(np.uint64) * np.uint64(one.words) + ids[rows[part]].astype(np.uint64))
+            found = successors.find(at.astype(np.uint64) * np.uint64(one.words) + ids[token[part]].astype(np.uint64))
             inside = (found >= first) & (found < last)  # a miss is -1
-            scores[rows[part[inside]]] = -(steps[found[inside]] / STEPS)
-        known = (counts > 0).astype(np.int64)
-        return {"n_tokens": np.diff(np.append(start, len(tokens))), "n_known": np.add.reduceat(known, start),
-                "base_score": np.add.reduceat(base, start), "score": np.add.reduceat(scores, start)}
+            score[part[inside]] = -(steps[found[inside]] / STEPS)
+            number[part[inside]] = self.first_pair[i] + found[inside]
+        scores[both], pair[both] = score[back], number[back]
+        return pair, scores
+
+    def triple_scores(self, one: Level1, ids, pair, start, lower) -> np.ndarray:
+        """log10 of the third level: the discounted share of a triple, and of the pair's spare share what the second gives."""
+        context = np.empty_like(pair)
+        context[1:] = pair[:-1]
+        context[start] = -1
+        rows = np.flatnonzero(context >= 0)
+        if not len(rows) or not self.triples:
+            return lower
+        own, _, back = _distinct_of(context[rows])
+        spare, share = np.ones(len(own)), np.zeros(len(rows))
+        order = np.argsort(back, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(own)))])
+        for p, some in _groups(self.triple_piece(own)):
+            if p not in self.triples:
+                continue
+            contexts, pointers, successors, steps, left, shift = _piece(f"{self.folder}/triples-{p}")
+            at = contexts.find(np.maximum(own[some] - shift, 0).astype(np.uint64))
+            at[own[some] < shift] = -1
+            spare[some[at >= 0]] = 10.0 ** (-(left[at[at >= 0]] / STEPS))
+            mine = order[edges[some[0]]:edges[some[-1] + 1]]  # the pieces are runs of the sorted contexts
+            where = at[back[mine] - some[0]]
+            mine, where = mine[where >= 0], where[where >= 0]
+            word = ids[rows[mine]]
+            mine, where, word = mine[word >= 0], where[word >= 0], word[word >= 0]
+            found = successors.find(where.astype(np.uint64) * np.uint64(one.words) + word.astype(np.uint64))
+            hit = found >= 0  # a code belongs to one context, so it needs no span
+            share[mine[hit]] = 10.0 ** (-(steps[found[hit]] / STEPS))
+        out = lower.copy()
+        out[rows] = np.log10(share + spare[back] * 10.0 ** lower[rows])
+        return out
 
 
 def _groups(x: np.ndarray):
@@ -254,7 +324,7 @@ def _groups(x: np.ndarray):
 
 
 def train(texts: DataFrame) -> NgramModel:
-    """Count and write both levels over all rows of the column ``text``."""
+    """Count and write the three levels over all rows of the column ``text``."""
     spark = texts.sparkSession
     texts = texts.select("text")
     folder = new_path(spark, "ngrams")
@@ -286,6 +356,8 @@ def train(texts: DataFrame) -> NgramModel:
     word_pieces, vocabulary = tuple(words), sum(r[1] for r in words)
     if not tokens:
         return NgramModel(folder, words, bits, pieces, {})
+    if vocabulary >= 1 << 32:
+        raise ValueError("pairs of so many words don't fit into 64 bits")
 
     def count_pairs(batches):
         one = _level1(folder, word_pieces, bits)
@@ -348,10 +420,50 @@ def train(texts: DataFrame) -> NgramModel:
                 _, p_low, pointers = EliasFano.build(np.append(first, len(codes)), len(codes) + 1)
                 n, n_low, successors = EliasFano.build(row.astype(np.uint64) * np.uint64(vocabulary) + word.astype(np.uint64), len(own) * vocabulary)
                 publish(f"{folder}/pairs-{piece}", [*contexts, *pointers, *successors, steps, backoff], [m, m_low, n, n_low, p_low, shift])
-                yield pa.RecordBatch.from_pydict({"piece": [piece]})
+                yield pa.RecordBatch.from_pydict({"piece": [piece], "n": [n]})
+
+    model = NgramModel(folder, words, bits, pieces, starts)
+    written = materialize(pairs.select("piece", "data").mapInArrow(write_level, "piece long, n long"), "lm-level")
+    model.number_pairs({r["piece"]: r["n"] for r in written.collect()})  # one row for each piece
+    if model.pairs * vocabulary >= 1 << 63:
+        raise ValueError("triples of so many pairs and words don't fit into 64 bits")
+
+    def count_triples(batches):
+        one, merger = model.level1(), _Merger()
 
-    materialize(pairs.select("piece", "data").mapInArrow(write_level, "piece long"), "lm-level")
-    return NgramModel(folder, words, bits, pieces, starts)
+        def blobs(done):
+            return _blobs(*done, model.triple_piece((done[0] // np.uint64(vocabulary)).astype(np.int64)))
+
+        for batch in batches:
+            for _, _, found, ends in _sequences(batch.column(0)):
+                ids, counts, before = one.look_up(found)
+                start = np.concatenate([[0], ends[:-1] + 1])
+                pair, _ = model.pair_scores(one, ids, counts, before, start, np.zeros(len(ids)))
+                inner = np.ones(len(ids), bool)
+                inner[start] = False
+                at = np.flatnonzero(inner)
+                if done := merger.add(*_sorted_counts(pair[at - 1].astype(np.uint64) * np.uint64(vocabulary) + ids[at].astype(np.uint64))):
+                    yield blobs(done)
+        if done := merger.flush():
+            yield blobs(done)
+
+    def write_triples(key, rows):
+        codes, counts = _merge_piece(rows.column("data"))
+        pair, word = (codes // np.uint64(vocabulary)).astype(np.int64), codes % np.uint64(vocabulary)
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        kinds, total = np.diff(np.append(first, len(codes))), np.add.reduceat(counts, first)
+        row, own, shift = np.repeat(np.arange(len(first)), kinds), pair[first], int(pair[0])
+        steps = np.minimum(np.rint(-np.log10((counts - DISCOUNT) / total[row]) * STEPS), 65535).astype(np.uint16)
+        spare = np.minimum(np.rint(-np.log10(DISCOUNT * kinds / total) * STEPS), 65535).astype(np.uint16)
+        m, m_low, contexts = EliasFano.build(own - shift, int(own[-1]) - shift + 1)
+        _, p_low, pointers = EliasFano.build(np.append(first, len(codes)), len(codes) + 1)
+        n, n_low, successors = EliasFano.build(row.astype(np.uint64) * np.uint64(vocabulary) + word, len(own) * vocabulary)
+        publish(f"{folder}/triples-{key[0].as_py()}", [*contexts, *pointers, *successors, steps, spare], [m, m_low, n, n_low, p_low, shift])
+        return pa.table({"piece": [key[0].as_py()]})
+
+    triples = texts.mapInArrow(count_triples, "piece long, data binary").groupBy("piece").applyInArrow(write_triples, "piece long")
+    model.triples = frozenset(r["piece"] for r in materialize(triples, "lm-triples").collect())  # one row for each piece
+    return model
 
 
 def score_texts(docs: DataFrame, model: NgramModel, keep: list[str]) -> DataFrame:
