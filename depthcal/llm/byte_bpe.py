@@ -37,7 +37,7 @@ _ROW = 1 << 17
 #: Bytes of a word that is folded as it is, and ids that are appended one by one before they are joined.
 SHORT, _STRIP = 64, 256
 #: Ids that are decoded at once.
-_RUN = 1 << 20
+_RUN = 1 << 18
 
 
 def tokenizer_file(name: str) -> str:
@@ -244,21 +244,29 @@ class ByteBpe:
                 return folder, bits, seed
         raise ValueError("two words have the same hash for each seed")
 
-    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-        """``docs``, or its columns ``keep``, with the array of ids of the column ``text`` added."""
+    def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids", keep: list[str] | None = None, data: str | None = None, raw: str | None = None) -> DataFrame:
+        """``docs``, or its columns ``keep``, with the array of ids of the column ``text`` added.
+
+        With ``data`` and ``raw`` the ids are decoded at once, as :meth:`decode` does, by the same worker.
+        """
         keep = docs.columns if keep is None else keep
         folder, bits, seed = self.write_words(docs.select(F.col(text).cast("string").alias("text")))
         words = F.transform(self.split(docs.sparkSession, F.col(text)), lambda w: _hash(w, seed))
         rows = docs.select(*(F.col(f"`{c}`") for c in keep), words.alias("__hashes"))
-        k, schema = len(keep), docs.select(*(F.col(f"`{c}`") for c in keep)).withColumn(ids, F.array().cast("array<int>")).schema
+        more = {ids: F.array().cast("array<int>")} | ({data: F.lit(b""), raw: F.lit(b"")} if data else {})
+        k, schema = len(keep), docs.select(*(F.col(f"`{c}`") for c in keep)).withColumns(more).schema
+        pool, ends = self.pool, self.ends
 
         def run(batches):
             for batch in batches:
                 hashes = batch.column(k)
                 edges = hashes.offsets.to_numpy().astype(np.int64)
                 at, values = look_up(folder, bits, hashes.values.to_numpy()[edges[0]:edges[-1]])
-                found = pa.ListArray.from_arrays(pa.array(at[edges - edges[0]], pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:k], found], schema.names)
+                at = at[edges - edges[0]]
+                for i, j in _runs(at):
+                    own, edge = values[at[i]:at[j]], at[i:j + 1] - at[i]
+                    found = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(own, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:k], found, *(_decoded(pool, ends, own, edge) if data else [])], schema.names)
 
         return rows.mapInArrow(run, schema)
 
@@ -273,25 +281,31 @@ class ByteBpe:
         def run(batches):
             for batch in batches:
                 column = batch.column(k)
-                edges = column.offsets.to_numpy().astype(np.int64)
-                own = column.values.to_numpy()[edges[0]:edges[-1]]
-                at = edges - edges[0]
-                # Runs of documents bound the memory; a longer document is joined alone.
-                i = 0
-                while i < len(at) - 1:
-                    j = max(i + 1, int(np.searchsorted(at, at[i] + _RUN, "right")) - 1)
-                    ids_ = own[at[i]:at[j]]
-                    size = ends[ids_] - np.where(ids_ > 0, ends[ids_ - 1], 0)
-                    place = np.concatenate([[0], np.cumsum(size)])
-                    joined = pool[np.repeat(ends[ids_] - size - place[:-1], size) + np.arange(int(place[-1]))]
-                    part = batch.slice(i, j - i)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:k], _binary(joined, place[at[i:j + 1] - at[i]]),
-                                                      _binary(ids_.astype("<u4").view(np.uint8), 4 * (at[i:j + 1] - at[i]))], schema.names)
-                    i = j
+                at = column.offsets.to_numpy().astype(np.int64)
+                values = column.values.to_numpy()
+                for i, j in _runs(at):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:k], *_decoded(pool, ends, values[at[i]:at[j]], at[i:j + 1] - at[i])], schema.names)
 
         return rows.mapInArrow(run, schema)
 
 
+def _runs(at: np.ndarray):
+    """Runs (first, behind the last) of documents of about _RUN ids, whose places are ``at``; a longer document is alone."""
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + _RUN, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _decoded(pool: np.ndarray, ends: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+    """The joined pieces of the ids between the edges, and the ids as bytes."""
+    size = ends[ids] - np.where(ids > 0, ends[ids - 1], 0)
+    place = np.concatenate([[0], np.cumsum(size)])
+    joined = pool[np.repeat((ends[ids] - size - place[:-1]).astype(np.int32), size) + np.arange(int(place[-1]), dtype=np.int32)]
+    return [_binary(joined, place[edges]), _binary(ids.astype("<u4").view(np.uint8), 4 * edges)]
+
+
 def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
     """The bytes between the edges, one value each."""
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
@@ -361,7 +375,6 @@ def production(path: str | None = None) -> ByteBpe:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    bpe = production()
-    docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"]), keep=["doc_id"])
+    docs = production().encode(table(spark, sf_dir, "documents"), keep=["doc_id"], data="data", raw="raw")
     return docs.select("doc_id", (F.octet_length("raw") / 4).cast("long").alias("n_tokens"), F.sha2("raw", 256).alias("ids_sha256"),
                        F.sha2("data", 256).alias("decoded_sha256"))

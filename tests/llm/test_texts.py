@@ -134,6 +134,8 @@ def test_byte_bpe_matches_the_library(spark, docs):
     bpe = byte_bpe.production()
     df = docs(texts).withColumn("n_tokens", F.lit(1)).withColumn("data", F.lit("clash"))
     rows = bpe.decode(bpe.encode(df, keep=["doc_id", "n_tokens"])).collect()
+    both = bpe.encode(df, keep=["doc_id"], data="data", raw="raw").collect()
+    assert sorted((r["doc_id"], r["ids"], r["data"], r["raw"]) for r in rows) == sorted((r["doc_id"], r["ids"], r["data"], r["raw"]) for r in both)
     for r in rows:
         t = texts[r["doc_id"]] or ""
         assert r["ids"] == enc.encode_ordinary(t) and bytes(r["data"]).decode() == t
