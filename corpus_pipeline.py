@@ -31,8 +31,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of the documents, and a digest of the bytes that they decode to."""
-    bpe = byte_bpe.production()
-    rows = bpe.decode(bpe.encode(docs, keep=["doc_id"]), keep=["doc_id", "ids"])
+    rows = byte_bpe.production().encode(docs, keep=["doc_id"], data="data", raw="raw")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("data", 256).alias("decoded_sha256"))
 
 
