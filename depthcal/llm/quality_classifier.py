@@ -7,7 +7,8 @@ is surest of and hands them to the other, in the proportion of the labels. Each
 from training, and the score of every document is the mean of the calibrated log odds, as a probability.
 
 Cases: a null text counts as empty; a null source or language is a value of its own; without labels of both kinds all
-scores are 0.5 and everything is kept; repeated rows are scored each, and one of them is fitted on; an empty table gives an empty result; further
+scores are 0.5 and everything is kept; very long texts are counted whole; of a doc_id with differing labels the best
+counts; repeated rows are scored each, and one of them is fitted on; an empty table gives an empty result; further
 columns are ignored by name.
 """
 

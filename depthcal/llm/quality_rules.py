@@ -6,7 +6,7 @@ its number of n-grams and held against a fixed threshold, so the verdict is a fu
 counts cover all documents and all of this module is DataFrame functions.
 
 Cases: a null or blank text has no words and fails the base rules; a document that is only white space has ratio 0;
-repeated rows each count and each get a verdict; without trusted documents the ratio is 0 everywhere and only the
+a very long text is counted whole, as arrays of its words and tokens on its row; repeated rows each count and each get a verdict; without trusted documents the ratio is 0 everywhere and only the
 base rules decide; an empty table gives an empty result; further columns are ignored by name.
 """
 

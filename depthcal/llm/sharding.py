@@ -5,7 +5,8 @@ number of group sizes is bounded whatever the corpus holds. Groups too large for
 shard of its own; the others follow in order of their number. The smallest feasible capacity is found by binary
 search with a greedy check and the sequence is cut there. Everything runs in DataFrame functions.
 
-Cases: a null text counts as empty (8 bytes, checksum 0) and keeps its row; repeated rows are separate rows with
+Cases: a null text counts as empty (8 bytes, checksum 0) and keeps its row; a very long text is one row of its size, and
+above an even share has a shard of its own; repeated rows are separate rows with
 slots of their own; an empty table gives an empty result; further columns are ignored by name.
 """
 
@@ -102,9 +103,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, n_groups: int = 16384)
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write the documents as one folder per shard. ``assigned`` comes from :func:`shard_documents` over unique doc_ids."""
+    """Write the documents as one folder per shard, in files whose rows are in the order of their slots. ``assigned`` comes
+    from :func:`shard_documents` over unique doc_ids. A shard is dealt to tasks by ranges of its slots."""
     (docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-         .repartition("shard").sortWithinPartitions("shard", "slot")
+         .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
          .write.mode("overwrite").partitionBy("shard").parquet(path))
 
 

@@ -156,6 +156,14 @@ def test_long_items_are_found_beside_many_short_ones():
     assert missed <= 0.03 * 150
 
 
+def test_shards_are_written_in_order(spark, docs, tmp_path):
+    df = docs([f"text {k}" for k in range(50)])
+    assigned = sharding.shard_documents(df, 3, 16)
+    sharding.write_shards(df, assigned, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in back.collect()} == {(r["doc_id"], r["shard"], r["slot"]) for r in assigned.collect()}
+
+
 def greedy(sizes, capacity):
     n, fill = 1, 0
     for s in sizes:
