@@ -5,7 +5,7 @@ pieces by hash; a word's place in it is its id. The second level holds, context
 after the context, shifted by the context's range so that the whole level is one monotone sequence, in pieces of
 about ``PIECE`` expected pairs that may divide a frequent context. The counts' start of each context is a monotone
 pointer sequence, and a pair is found by a successor search relative to its context; its place in the level is its id.
-The third level holds in the same way the words seen after each pair, in pieces by the pair's id. What is left over for
+The third level holds in the same way the words seen after each pair, in pieces by the pair's id, which needs no pointer. What is left over for
 unseen words is kept with the context, of a divided one in the last piece that begins at or before it. Probabilities are
 smoothed by interpolated absolute discounting and kept as 16-bit steps of log10: those of pairs with their share of
 the first level, those of triples without that of the second, which scoring has at hand. All levels are files in the
@@ -42,6 +42,9 @@ WORD_PIECE, PIECE = 1 << 20, 3_000_000
 #: Discount of pair counts; log10 steps of a stored probability.
 DISCOUNT = 0.75
 STEPS = 4096.0
+_POWERS_OF_TEN = 10.0 ** (-np.arange(65536) / STEPS)
+#: The spare share's step of a pair that nothing follows.
+_NO_SUCCESSOR = np.uint16(65535)
 
 
 def _sorted_counts(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -87,22 +90,22 @@ def _sequences(column):
 
 
 class _Merger:
-    """Merges sorted counts of many runs, so that a task sends each value at most a few times."""
+    """Sorts and counts the values of many runs together, so that a task sends each value at most a few times."""
 
     def __init__(self, limit: int = 2_000_000):
         self.parts, self.size, self.limit = [], 0, limit
 
-    def add(self, values, counts):
-        self.parts.append((values, counts))
+    def add(self, values):
+        self.parts.append(values)
         self.size += len(values)
         return self.flush() if self.size > self.limit else None
 
     def flush(self):
         if not self.parts:
             return None
-        out = _sorted_counts(np.concatenate([v for v, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
+        out = _sorted_counts(np.concatenate(self.parts))
         self.parts, self.size = [], 0
-        return out
+        return out if len(out[0]) else None
 
 
 def _blobs(values, counts, pieces):
@@ -181,7 +184,7 @@ def _level1(folder: str, pieces: tuple, bits: int) -> Level1:
 
 
 def _piece(path: str):
-    """A piece of the second or third level: contexts, pointers, successors, steps, spare shares, the first context."""
+    """The second level's piece: contexts, pointers, successors, steps, spare shares, the first context."""
     (m, m_low, n, n_low, p_low, base), arrays = load_cached(path)
     contexts = EliasFano(m, m_low, arrays[:5])
     pointers = EliasFano(m + 1, p_low, arrays[5:10])
@@ -190,14 +193,13 @@ def _piece(path: str):
 
 
 def _distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct values, a place of each, the number of each element's value)."""
-    order = np.argsort(x, kind="stable")
-    new = np.empty(len(x), bool)
-    new[:1] = True
-    np.not_equal(x[order[1:]], x[order[:-1]], out=new[1:])
+    """(an order of the elements by value, where each distinct value begins in it and its end, the number of each
+    element's value)."""
+    order = np.argsort(x)
+    begins = np.flatnonzero(np.concatenate([[True], x[order[1:]] != x[order[:-1]]])) if len(x) else np.zeros(0, np.int64)
     back = np.empty(len(x), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return x[order[new]], order[new], back
+    back[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(x))))
+    return order, np.append(begins, len(x)), back
 
 
 class NgramModel:
@@ -207,19 +209,20 @@ class NgramModel:
         self.folder, self.word_pieces, self.bits, self.pieces = folder, tuple(words), bits, pieces
         self.present = sorted(starts)
         self.starts = np.array([starts[p] for p in self.present], np.int64)
-        self.first_pair, self.pairs, self.triples = np.zeros(len(starts) + 1, np.int64), 0, frozenset()
+        self.first_pair, self.pairs, self.piece_pairs, self.triples = np.zeros(len(starts) + 1, np.int64), 0, 1, frozenset()
 
     def number_pairs(self, sizes: dict[int, int]) -> None:
         """Set the ids of the pairs from the number in each piece."""
         self.first_pair = np.cumsum([0, *(sizes[p] for p in self.present)])
         self.pairs = int(self.first_pair[-1])
+        self.piece_pairs = max(1, -(-self.pairs // self.pieces))
 
     def level1(self) -> Level1:
         return _level1(self.folder, self.word_pieces, self.bits)
 
     def triple_piece(self, pair: np.ndarray) -> np.ndarray:
         """The piece of the triples that begin with a pair; monotone."""
-        return pair // max(1, -(-self.pairs // self.pieces))
+        return pair // self.piece_pairs
 
     def score(self, tokens: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         """Sums by text: tokens, known tokens, log10 of the base and of the model."""
@@ -244,8 +247,8 @@ class NgramModel:
         if not len(both) or not self.present:
             return pair, scores
         # Each distinct pair, or context of an unseen word, is looked up once.
-        code, at_first, back = _distinct_of(context[both].astype(np.uint64) * np.uint64(one.words + 1) + (ids[both] + 1).astype(np.uint64))
-        token = both[at_first]
+        order, begins, back = _distinct_of(context[both].astype(np.uint64) * np.uint64(one.words + 1) + (ids[both] + 1).astype(np.uint64))
+        token = both[order[begins[:-1]]]
         turn = np.flatnonzero(np.append(True, context[token][1:] != context[token][:-1]))
         own, context_of = context[token][turn], np.repeat(np.arange(len(turn)), np.diff(np.append(turn, len(token))))
         home = np.searchsorted(self.starts, own, "right") - 1
@@ -289,29 +292,24 @@ class NgramModel:
         context[1:] = pair[:-1]
         context[start] = -1
         rows = np.flatnonzero(context >= 0)
-        if not len(rows) or not self.triples:
-            return lower
-        own, _, back = _distinct_of(context[rows])
-        spare, share = np.ones(len(own)), np.zeros(len(rows))
-        order = np.argsort(back, kind="stable")
-        edges = np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(own)))])
-        for p, some in _groups(self.triple_piece(own)):
+        rows = rows[np.argsort(context[rows])]
+        share, spare = np.zeros(len(rows)), np.ones(len(rows))
+        piece = self.triple_piece(context[rows])
+        edges = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1], [True]])) if len(rows) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            p = int(piece[a])
             if p not in self.triples:
                 continue
-            contexts, pointers, successors, steps, left, shift = _piece(f"{self.folder}/triples-{p}")
-            at = contexts.find(np.maximum(own[some] - shift, 0).astype(np.uint64))
-            at[own[some] < shift] = -1
-            spare[some[at >= 0]] = 10.0 ** (-(left[at[at >= 0]] / STEPS))
-            mine = order[edges[some[0]]:edges[some[-1] + 1]]  # the pieces are runs of the sorted contexts
-            where = at[back[mine] - some[0]]
-            mine, where = mine[where >= 0], where[where >= 0]
-            word = ids[rows[mine]]
-            mine, where, word = mine[word >= 0], where[word >= 0], word[word >= 0]
-            found = successors.find(where.astype(np.uint64) * np.uint64(one.words) + word.astype(np.uint64))
-            hit = found >= 0  # a code belongs to one context, so it needs no span
-            share[mine[hit]] = 10.0 ** (-(steps[found[hit]] / STEPS))
+            (shift, n, low), (*parts, steps, left) = load_cached(f"{self.folder}/triples-{p}")
+            place, word = context[rows[a:b]] - shift, ids[rows[a:b]]
+            kept = left[place]
+            spare[a:b] = np.where(kept == _NO_SUCCESSOR, 1.0, _POWERS_OF_TEN[kept])
+            some = np.flatnonzero((word >= 0) & (kept != _NO_SUCCESSOR))
+            # The successors of a pair are their ids raised by the range of the pairs before it.
+            found = EliasFano(n, low, parts).find(place[some].astype(np.uint64) * np.uint64(one.words) + word[some].astype(np.uint64))
+            share[a + some[found >= 0]] = _POWERS_OF_TEN[steps[found[found >= 0]]]
         out = lower.copy()
-        out[rows] = np.log10(share + spare[back] * 10.0 ** lower[rows])
+        out[rows] = np.log10(share + spare * 10.0 ** lower[rows])
         return out
 
 
@@ -337,7 +335,7 @@ def train(texts: DataFrame) -> NgramModel:
         merger = _Merger()
         for batch in batches:
             for _, _, tokens, _ in _sequences(batch.column(0)):
-                if done := merger.add(*_sorted_counts(tokens)):
+                if done := merger.add(tokens):
                     yield _blobs(*done, done[0] >> np.uint64(64 - bits) if bits else np.zeros(len(done[0])))
         if done := merger.flush():
             yield _blobs(*done, done[0] >> np.uint64(64 - bits) if bits else np.zeros(len(done[0])))
@@ -374,7 +372,7 @@ def train(texts: DataFrame) -> NgramModel:
                 context = np.empty_like(ids)
                 context[1:] = ids[:-1]
                 context[np.concatenate([[0], ends[:-1] + 1])] = end
-                if done := merger.add(*_sorted_counts(context.astype(np.uint64) * np.uint64(vocabulary) + ids.astype(np.uint64))):
+                if done := merger.add(context.astype(np.uint64) * np.uint64(vocabulary) + ids.astype(np.uint64)):
                     yield blobs(done)
         if done := merger.flush():
             yield blobs(done)
@@ -442,7 +440,7 @@ def train(texts: DataFrame) -> NgramModel:
                 inner = np.ones(len(ids), bool)
                 inner[start] = False
                 at = np.flatnonzero(inner)
-                if done := merger.add(*_sorted_counts(pair[at - 1].astype(np.uint64) * np.uint64(vocabulary) + ids[at].astype(np.uint64))):
+                if done := merger.add(pair[at - 1].astype(np.uint64) * np.uint64(vocabulary) + ids[at].astype(np.uint64)):
                     yield blobs(done)
         if done := merger.flush():
             yield blobs(done)
@@ -452,13 +450,13 @@ def train(texts: DataFrame) -> NgramModel:
         pair, word = (codes // np.uint64(vocabulary)).astype(np.int64), codes % np.uint64(vocabulary)
         first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         kinds, total = np.diff(np.append(first, len(codes))), np.add.reduceat(counts, first)
-        row, own, shift = np.repeat(np.arange(len(first)), kinds), pair[first], int(pair[0])
-        steps = np.minimum(np.rint(-np.log10((counts - DISCOUNT) / total[row]) * STEPS), 65535).astype(np.uint16)
-        spare = np.minimum(np.rint(-np.log10(DISCOUNT * kinds / total) * STEPS), 65535).astype(np.uint16)
-        m, m_low, contexts = EliasFano.build(own - shift, int(own[-1]) - shift + 1)
-        _, p_low, pointers = EliasFano.build(np.append(first, len(codes)), len(codes) + 1)
-        n, n_low, successors = EliasFano.build(row.astype(np.uint64) * np.uint64(vocabulary) + word, len(own) * vocabulary)
-        publish(f"{folder}/triples-{key[0].as_py()}", [*contexts, *pointers, *successors, steps, spare], [m, m_low, n, n_low, p_low, shift])
+        shift = key[0].as_py() * model.piece_pairs
+        place = pair - shift
+        steps = np.minimum(np.rint(-np.log10((counts - DISCOUNT) / np.repeat(total, kinds)) * STEPS), 65535).astype(np.uint16)
+        left = np.full(min(model.piece_pairs, model.pairs - shift), _NO_SUCCESSOR)
+        left[place[first]] = np.minimum(np.rint(-np.log10(DISCOUNT * kinds / total) * STEPS), _NO_SUCCESSOR - 1)
+        n, low, successors = EliasFano.build(place.astype(np.uint64) * np.uint64(vocabulary) + word, len(left) * vocabulary)
+        publish(f"{folder}/triples-{key[0].as_py()}", [*successors, steps, left], [shift, n, low])
         return pa.table({"piece": [key[0].as_py()]})
 
     triples = texts.mapInArrow(count_triples, "piece long, data binary").groupBy("piece").applyInArrow(write_triples, "piece long")
