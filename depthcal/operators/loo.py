@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..functions.grouped import map_groups
+from ..functions.grouped import map_sorted
 from ..functions.numeric import MIN_POINTS
 from ..functions.scalar import INF
 from .points import clean
@@ -89,13 +89,13 @@ def loo(points: DataFrame, method: str, degree: int = 2, robust: bool = False) -
     if (method, robust) in native:
         return native[method, robust](points)
 
-    def run(key, own):
-        v = own["v"] if method == "poly2d" else None
-        gt, plain, refit = numeric.leave_one_out(method, own["pred"], own["gt_m"], v, degree, robust)
-        return {"group_key": [key] * len(gt), "gt_m": gt.tolist(), "err_uncal": plain.tolist(), "err_cal": [None] * len(gt) if refit is None else [None if np.isnan(e) else e for e in refit.tolist()]}
+    def run(own, edges):
+        rows, _, refit = numeric.leave_one_out_groups(method, own["pred"], own["gt_m"], own["v"], edges, degree, robust)
+        gt = own["gt_m"][rows]
+        return {"group_key": own["group_key"][rows], "gt_m": gt, "err_uncal": np.abs(own["pred"][rows] - gt), "err_cal": [None if e != e else e for e in refit.tolist()]}
 
     rows = clean(points, rows=method == "poly2d").select("group_key", "pred", "gt_m", "v")
-    return map_groups(rows, run, "group_key string, gt_m double, err_uncal double, err_cal double")
+    return map_sorted(rows, run, "group_key string, gt_m double, err_uncal double, err_cal double")
 
 
 def group_scores(residuals: DataFrame) -> DataFrame:

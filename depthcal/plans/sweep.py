@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..functions.grouped import map_groups
+from ..functions.grouped import map_sorted
 from ..operators.align import align_groups, align_ransac, aligned_subject, pick_reference
 from ..operators.loo import BUCKETS
 from ..operators.points import KEY, by_camera, by_clip, load_points
@@ -68,29 +69,32 @@ def sweep(results: DataFrame, exclusions: DataFrame | None = None, maps: DataFra
         p = p.select("group_key", "pred", "gt_m", "v", F.lit(f"{anchor}/{align}/{reference}").alias("loaded"))
         points = p if points is None else points.union(p)
 
-    def run(key, group):
-        rows: dict[str, list] = {n: [] for n in names}
+    def run(points, edges):
+        out: dict[str, list] = {n: [] for n in names}
         for ord_, (anchor, align, reference, method, degree, robust) in combos:
-            use = group["loaded"] == f"{anchor}/{align}/{reference}"
-            if not use.any():
-                continue
-            gt, plain, refit = numeric.leave_one_out(method, group["pred"][use], group["gt_m"][use], group["v"][use], degree or 2, bool(robust))
-            row = {"sweep_ord": ord_, "scored": refit is not None}
-            if refit is not None:
-                row |= {"uncal": float(plain.mean()), "cal": float(refit.mean())}
+            use = np.flatnonzero(points["loaded"] == f"{anchor}/{align}/{reference}")
+            x, y, v = (points[c][use] for c in ("pred", "gt_m", "v"))
+            bounds = np.searchsorted(use, edges)
+            rows, of, refit = numeric.leave_one_out_groups(method, x, y, v, bounds, degree or 2, bool(robust))
+            plain, gt, n = np.abs(x[rows] - y[rows]), y[rows], len(edges) - 1
+            sizes, scored = np.bincount(of, minlength=n), np.zeros(n, bool)
+            scored[of[~np.isnan(refit)]] = True
+            total = lambda value: np.bincount(of, value, n)  # noqa: B023, E731
+            columns = {"uncal": total(plain) / np.maximum(sizes, 1), "cal": total(refit) / np.maximum(sizes, 1)}
             for name, lo, hi in BUCKETS:
                 inside = (gt >= lo) & (gt < hi)
-                row[f"{name}_n"] = 0 if refit is None else int(inside.sum())
-                if refit is not None:
-                    row |= {f"{name}_u": float(plain[inside].sum()), f"{name}_c": float(refit[inside].sum())}
-            for n in names:
-                rows[n].append(row.get(n))
-        return rows
+                columns |= {f"{name}_n": total(inside).astype(np.int64), f"{name}_u": total(plain * inside), f"{name}_c": total(refit * inside)}
+            there = np.flatnonzero(np.diff(bounds))
+            out["sweep_ord"].extend([ord_] * len(there))
+            out["scored"].extend(scored[there].tolist())
+            for c, value in columns.items():
+                out[c].extend(a if ok else (0 if c.endswith("_n") else None) for a, ok in zip(value[there].tolist(), scored[there].tolist(), strict=True))
+        return out
 
     kind = "sweep_ord int, scored boolean, uncal double, cal double, " + ", ".join(f"{b[0]}_n long, {b[0]}_u double, {b[0]}_c double" for b in BUCKETS)
     names = [x.split()[0] for x in kind.split(", ")]
-    # Missing coordinates are NaN to numpy, and so unusable.
-    scores = map_groups(points, run, kind)
+    # Missing values are NaN to numpy, and so unusable.
+    scores = map_sorted(points, run, kind)
     means = scores.groupBy("sweep_ord").agg(
         F.count("*").alias("n_groups_total"), F.count_if("scored").alias("n_groups_scored"), F.avg(F.when(F.col("scored"), F.col("uncal"))).alias("mean_loo_mae_uncal"),
         F.avg(F.when(F.col("scored"), F.col("cal"))).alias("mean_loo_mae_cal"), F.count_if(F.col("scored") & (F.col("cal") < F.col("uncal"))).alias("better"),

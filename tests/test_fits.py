@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from depthcal.functions import numeric
 from depthcal.operators import calibrators, loo, points
@@ -117,3 +118,45 @@ def test_unknown_camera_is_an_error(spark):
     assert points.by_camera(p, known).first()["group_key"] == "a/c"
     with pytest.raises(Exception, match="no path for video"):
         points.by_camera(p, known.where("anno = 'w'")).collect()
+
+
+def test_batched_refits_equal_single_ones():
+    rng = np.random.default_rng(5)
+    for method, options in (("scale", {}), ("scale", {"robust": True}), ("linear", {}), ("linear", {"robust": True}), ("disparity", {}), ("poly", {}), ("poly", {"degree": 3}), ("poly2d", {}), ("piecewise", {})):
+        for n in (2, 3, 5, 6, 9):
+            if n < numeric.MIN_POINTS[method] + 1:
+                continue
+            x, y, v = rng.uniform(1, 9, (4, n)).round(1), rng.uniform(1, 9, (4, n)), rng.uniform(0, 1, (4, n))
+            got = numeric.leave_one_out_rows(method, x, y, v if method == "poly2d" else None, **options)
+            for g in range(4):
+                for i in range(n):
+                    rest = np.arange(n) != i
+                    p = numeric.fit(method, x[g][rest], y[g][rest], v[g][rest], **options)
+                    assert got[g, i] == pytest.approx(abs(numeric.predict(method, p, x[g, i:i + 1], v[g, i:i + 1])[0] - y[g, i]), rel=1e-6, abs=1e-6), (method, n)
+
+
+def test_piecewise_equals_a_search_over_all_joints():
+    rng = np.random.default_rng(6)
+    for n in (4, 5, 8, 30):
+        x, y = rng.uniform(1, 9, n).round(1), rng.uniform(1, 9, n)
+        best = None
+        for k in sorted(set(x))[1:-1]:
+            low = x <= k
+            a, b = numeric.line(x[low], y[low])
+            rise = ((x - k) * (y - a * k - b))[~low].sum() / ((x - k)[~low] ** 2).sum()
+            error = ((np.where(low, a * x + b, a * k + b + rise * (x - k)) - y) ** 2).sum()
+            best = min(best or (error, k, a, rise), (error, k, a, rise))
+        p = numeric.fit("piecewise", x, y)
+        assert (p["k"], p["a1"], p["a2"]) == pytest.approx(best[1:])
+
+
+def test_input_size_and_rates(spark):
+    from depthcal.functions import scalar
+
+    assert scalar.model_input_size(720, 404) == (672, 378) and scalar.model_input_size(1, 1)[0] <= 504
+    for w, h in ((400, 4000), (3000, 70), (640, 480), (1920, 1080)):
+        a, b = scalar.model_input_size(w, h)
+        assert a % 14 == b % 14 == 0 and a * b <= 255_000
+    texts = ["30000/1001", "25", "2.5/1", "0/0", "N/A", "", " 24/1 ", "1e1", "nan", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(scalar.parse_rate(F.col("t"))).collect()]
+    assert got == [30000 / 1001, 25.0, None, None, None, None, 24.0, 10.0, None, None]
