@@ -12,6 +12,8 @@ from ..functions.scalar import INF
 from .maps import in_mask, median_of
 
 MIN_BACKGROUND = 8
+#: Bytes of reference maps and masks that may be broadcast; beyond it they are joined by group.
+BROADCAST_BYTES = 64 << 20
 
 
 def pick_reference(points: DataFrame, method: str = "furthest", group: str = "grp", distance: str = "distance_gt", order: str = "frame_id") -> DataFrame:
@@ -30,7 +32,9 @@ def with_reference(frames: DataFrame, method: str = "furthest", chosen: DataFram
     chosen = pick_reference(frames, method) if chosen is None else chosen
     ref = frames.join(chosen, (frames.frame_id == chosen.reference) & (frames.grp == chosen.grp), "left_semi")
     ref = ref.select("grp", F.col("frame_id").alias("reference"), F.col("depth").alias("ref_depth"), F.col("mask").alias("ref_mask"))
-    return frames.join(ref, "grp")
+    # One map for each group: broadcast up to a size, so that a large group isn't gathered in one task.
+    held = ref.agg(F.sum(8 * F.size("ref_depth") + F.size("ref_mask"))).first()[0] or 0
+    return frames.join(F.broadcast(ref) if held <= BROADCAST_BYTES else ref, "grp")
 
 
 def background(depth: Column, mask: Column, ref_depth: Column, ref_mask: Column) -> Column:

@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..functions.grouped import map_groups
 from ..functions.scalar import frame_file
-from ..operators.align import MIN_BACKGROUND, pick_reference
+from ..operators.align import BROADCAST_BYTES, MIN_BACKGROUND, pick_reference
 from ..operators.maps import decode_masks, resize_cubic, resize_nearest_array
 from ..operators.points import KEY
 
 FRAME = KEY[:2]
 ALIGNMENTS = ("none", "ransac", "least_squares")
-#: Bytes of reference maps and masks that may be broadcast; beyond it they are joined by group.
-BROADCAST_BYTES = 64 << 20
 _REFERENCE = "align_ref_video string, align_ref_frame_idx int, align_ref_instance_idx int"
 
 
