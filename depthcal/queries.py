@@ -311,6 +311,17 @@ def fit_poly(spark, sf_dir):
     return calibrators.fit_poly(_points(spark, sf_dir)).select("group_key", "n_points", F.transform("coeffs", lambda c: F.round(c, 6)).alias("coeffs"))
 
 
+@query("fit_poly_at_mean", """SELECT group_key, n AS n_points, round(my - CASE WHEN n < 3 THEN 0 ELSE s2 / n * (s2w - s3 * s1w / s2) / (s4 - s3 * s3 / s2 - s2 * s2 / n) END, 4) AS value
+  FROM (SELECT group_key, any_value(n) AS n, any_value(my) AS my, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(u * w) AS s1w, sum(u * u * w) AS s2w
+    FROM (SELECT *, pred - mx AS u, gt_m - my AS w FROM (SELECT *, count(*) OVER g AS n, avg(pred) OVER g AS mx, avg(gt_m) OVER g AS my FROM p WINDOW g AS (PARTITION BY group_key))) GROUP BY 1)""", *_P)
+def fit_poly_at_mean(spark, sf_dir):
+    """Quadratics evaluated at the mean prediction, which normal equations repeat well."""
+    own = _points(spark, sf_dir)
+    middle = points.clean(own).groupBy("group_key").agg(F.avg("pred").alias("mx"))
+    fit = calibrators.fit_poly(own).join(middle, "group_key")
+    return fit.select("group_key", "n_points", F.round(calibrators.predict("poly", F.col("mx"), {"coeffs": F.col("coeffs")}), 4).alias("value"))
+
+
 @query("fit_poly2d")
 def fit_poly2d(spark, sf_dir):
     return calibrators.fit_poly2d(_points(spark, sf_dir)).select("group_key", "n_points", F.transform("coeffs", lambda c: F.round(c, 6)).alias("coeffs"))
