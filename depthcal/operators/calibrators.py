@@ -62,30 +62,24 @@ def fit_piecewise(points: DataFrame) -> DataFrame:
     """Two joined segments: each inner distinct prediction is tried as the joint; the least squared error wins, and of
     equals the smallest joint. Below four points or without an inner value: one line with an infinite joint.
 
-    One shuffle by group: the moments of the points up to each joint, and behind it, are running sums in the order of the
-    predictions, taken about the group's means; the errors follow from them in closed form.
+    One shuffle by group: the moments of the points up to each joint, and of those behind it, are running ones about their
+    own means, so that close predictions lose no digits; the errors follow from them in closed form.
     """
     g = W.partitionBy("group_key")
+    x, y = F.col("pred"), F.col("gt_m")
     p = clean(points).select("group_key", "pred", "gt_m")
-    p = p.select("*", F.avg("pred").over(g).alias("cx"), F.avg("gt_m").over(g).alias("cy"))
-    u, w = F.col("pred") - F.col("cx"), F.col("gt_m") - F.col("cy")
-    terms = {"n": F.lit(1.0), "u": u, "w": w, "uu": u * u, "uw": u * w, "ww": w * w}
-    up_to, behind = g.orderBy("pred").rangeBetween(W.unboundedPreceding, 0), g.orderBy(F.desc("pred")).rangeBetween(W.unboundedPreceding, 0)
-    sums = [F.sum(c).over(up_to).alias(f"l_{k}") for k, c in terms.items()] + [F.sum(c).over(behind).alias(f"r_{k}") for k, c in terms.items()]
-    at = [F.sum(c).over(W.partitionBy("group_key", "pred")).alias(f"t_{k}") for k, c in terms.items()]
-    p = p.select("*", u.alias("u"), *sums, *at)
-    lo = {k: F.col(f"l_{k}") for k in terms}
-    hi = {k: F.col(f"r_{k}") - F.col(f"t_{k}") for k in terms}  # without the points at the joint
-    a1 = F.try_divide(lo["uw"] - lo["u"] * lo["w"] / lo["n"], lo["uu"] - lo["u"] * lo["u"] / lo["n"])
-    p = p.select("*", a1.alias("a1"))
-    a1, k = F.col("a1"), F.col("u")
-    p = p.select("*", (a1 * k + (lo["w"] - a1 * lo["u"]) / lo["n"]).alias("h"))
-    h = F.col("h")
-    oo, oz, zz = (hi["uu"] - 2 * k * hi["u"] + k * k * hi["n"], hi["uw"] - h * hi["u"] - k * hi["w"] + k * h * hi["n"], hi["ww"] - 2 * h * hi["w"] + h * h * hi["n"])
-    error = lo["ww"] - lo["w"] * lo["w"] / lo["n"] - a1 * (lo["uw"] - lo["u"] * lo["w"] / lo["n"]) + zz - F.try_divide(oz * oz, oo)
-    inner = (F.col("l_n") > F.col("t_n")) & (F.col("r_n") > F.col("t_n"))
+    p = p.select("*", F.dense_rank().over(g.orderBy("pred")).alias("d"))
+    up_to, behind = g.orderBy("pred").rangeBetween(W.unboundedPreceding, 0), g.orderBy(F.desc("d")).rangeBetween(W.unboundedPreceding, -1)
+    terms = {"n": F.count(x), "x": F.avg(x), "y": F.avg(y), "xx": F.regr_sxx(y, x), "xy": F.regr_sxy(y, x), "yy": F.regr_syy(y, x)}
+    p = p.select("*", *(c.over(up_to).alias(f"l_{k}") for k, c in terms.items()), *(c.over(behind).alias(f"r_{k}") for k, c in terms.items()))
+    lo, hi = ({k: F.col(f"{side}_{k}") for k in terms} for side in "lr")
+    p = p.select("*", F.try_divide(lo["xy"], lo["xx"]).alias("a1"))
+    a1, k = F.col("a1"), F.col("pred")
+    dx, dy = hi["x"] - k, hi["y"] - (a1 * (k - lo["x"]) + lo["y"])
+    oo, oz, zz = hi["xx"] + hi["n"] * dx * dx, hi["xy"] + hi["n"] * dx * dy, hi["yy"] + hi["n"] * dy * dy
+    error = lo["yy"] - a1 * lo["xy"] + zz - F.try_divide(oz * oz, oo)
+    inner = (F.col("d") > 1) & (hi["n"] > 0)
     joint = F.min_by(F.when(inner, F.col("pred")), F.when(inner, F.struct(error.alias("e"), F.col("pred")))).over(g)
-    x, y = F.col("pred"), F.col("gt_m")
     p = p.select("group_key", "pred", "gt_m", F.when(F.count("*").over(g) >= 4, joint).alias("k"))
     # The winning segments are fitted directly.
     low = F.when(x <= F.col("k"), y)

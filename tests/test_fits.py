@@ -160,3 +160,14 @@ def test_input_size_and_rates(spark):
     texts = ["30000/1001", "25", "2.5/1", "0/0", "N/A", "", " 24/1 ", "1e1", "nan", None]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(scalar.parse_rate(F.col("t"))).collect()]
     assert got == [30000 / 1001, 25.0, None, None, None, None, 24.0, 10.0, None, None]
+
+
+def test_piecewise_joint_with_close_predictions(spark):
+    # Two predictions so close that sums of squares about the group's mean lose their distance.
+    groups = {"a": ((16.7, 16.7000001, 27.99, 31.68, 42.79, 43.37), (49, 37, 3, 8, 27, 41), (-3.54296, 102.16741, 2.04196, 27.99)),
+              "b": ((26.83, 26.83000001, 37.62, 48.27, 49.13), (14, 36, 8, 16, 48), (-0.52747, 36.90223, 42.51037, 48.27)),
+              "c": ((10.6, 10.6000001, 18.29, 23.07, 28.65, 43.11, 48.42), (48, 36, 35, 10, 46, 20, 47), (-0.55519, 44.92895, 4.89745, 43.11))}
+    rows = {r["group_key"]: r for r in calibrators.fit_piecewise(frame(spark, {g: [(x, y, 0.5) for x, y in zip(*p[:2], strict=True)] for g, p in groups.items()})).collect()}
+    for g, (x, y, want) in groups.items():  # of exact arithmetic over all joints
+        assert [rows[g][c] for c in ("a1", "b1", "a2", "k")] == pytest.approx(want, rel=1e-5)
+        assert [float(c[0]) for c in numeric.segments(np.array([x]), np.array([y], float))] == pytest.approx(want, rel=1e-5)
