@@ -107,19 +107,20 @@ class EliasFano:
 
     def _ones_from(self, at: np.ndarray) -> np.ndarray:
         """The ones in a row from each place on."""
-        words, out = self.ones.words, np.zeros(len(at), np.int64)
-        rows = np.arange(len(at))
+        words = self.ones.words
+        word, inside = at >> 6, (at & 63).astype(np.uint64)
+        zeros = ~(words[word] >> inside)
+        out = np.bitwise_count((zeros & (~zeros + _ONE)) - _ONE).astype(np.int64)
+        # A run that reaches the word's end goes on in the next.
+        rows = np.flatnonzero(out + inside.astype(np.int64) >= 64)
+        out[rows] = 64 - inside[rows].astype(np.int64)
+        word = word[rows]
         while len(rows):
-            inside = at[rows] & 63
-            zeros = ~(words[at[rows] >> 6] >> inside.astype(np.uint64))
+            word = word + 1
+            zeros = ~words[word]
             run = np.bitwise_count((zeros & (~zeros + _ONE)) - _ONE).astype(np.int64)
-            run = np.minimum(run, 64 - inside)
             out[rows] += run
-            # A run that reaches the word's end goes on in the next.
-            on = inside + run == 64
-            rows = rows[on]
-            at = at.copy() if len(rows) else at
-            at[rows] += run[on]
+            rows, word = rows[run == 64], word[run == 64]
         return out
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -131,15 +132,15 @@ class EliasFano:
         first = before - high + 1
         last = before + 1 + self._ones_from(before + 1) - high
         low = values & np.uint64((1 << self.l) - 1)
-        open_ = np.flatnonzero(last > first)
-        lo, hi = first.copy(), last.copy()
-        while len(open_):  # within the run of equal upper parts the lower parts are sorted
+        lo, hi = first, last
+        open_ = np.flatnonzero(hi - lo > 1)
+        while len(open_):  # within the run of equal upper parts the lower parts are sorted: the last that isn't greater
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self._lower(mid) < low[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-            open_ = open_[lo[open_] < hi[open_]]
-        hit = np.flatnonzero(lo < last)
+            up = self._lower(mid) <= low[open_]
+            lo[open_] = np.where(up, mid, lo[open_])
+            hi[open_] = np.where(up, hi[open_], mid)
+            open_ = open_[hi[open_] - lo[open_] > 1]
+        hit = np.flatnonzero(lo < hi)
         out = np.full(len(values), -1)
         same = hit[self._lower(lo[hit]) == low[hit]]
         out[same] = lo[same]

@@ -39,6 +39,9 @@ from .stored import load_cached, publish
 END = np.uint64(0x00E4D00E4D00E4D5)
 #: Words and expected pairs of one piece of a level.
 WORD_PIECE, PIECE = 1 << 20, 3_000_000
+#: Tokens that are looked up together: each piece is searched once for all of them, so the searches of a run, which are as many
+#: as the pieces, don't weigh on few tokens. A longer text is a run of its own.
+RUN_TOKENS = 1_000_000
 #: Discount of pair counts; log10 steps of a stored probability.
 DISCOUNT = 0.75
 STEPS = 4096.0
@@ -89,6 +92,25 @@ def _sequences(column):
         yield i, j, tokens, ends
 
 
+def _runs(batches, place: int = 0):
+    """(rows without the texts, tokens, places of the ends) of runs of about RUN_TOKENS tokens, over batches; the texts are the
+    column at ``place``."""
+    held, size = [], 0
+    for batch in batches:
+        for i, j, tokens, ends in _sequences(batch.column(place)):
+            held.append((batch.slice(i, j - i).remove_column(place), tokens, ends + size))
+            size += len(tokens)
+            if size >= RUN_TOKENS:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held):
+    return [rows for rows, _, _ in held], np.concatenate([t for _, t, _ in held]), np.concatenate([e for _, _, e in held])
+
+
 class _Merger:
     """Sorts and counts the values of many runs together, so that a task sends each value at most a few times."""
 
@@ -366,14 +388,13 @@ def train(texts: DataFrame) -> NgramModel:
             first, second = (done[0] // np.uint64(vocabulary)).astype(np.int64), (done[0] % np.uint64(vocabulary)).astype(np.int64)
             return _blobs(*done, piece_of(*one.by_id(first), one.by_id(second)[0], tokens, pieces))
 
-        for batch in batches:
-            for _, _, found, ends in _sequences(batch.column(0)):
-                ids = one.look_up(found)[0]
-                context = np.empty_like(ids)
-                context[1:] = ids[:-1]
-                context[np.concatenate([[0], ends[:-1] + 1])] = end
-                if done := merger.add(context.astype(np.uint64) * np.uint64(vocabulary) + ids.astype(np.uint64)):
-                    yield blobs(done)
+        for _, found, ends in _runs(batches):
+            ids = one.look_up(found)[0]
+            context = np.empty_like(ids)
+            context[1:] = ids[:-1]
+            context[np.concatenate([[0], ends[:-1] + 1])] = end
+            if done := merger.add(context.astype(np.uint64) * np.uint64(vocabulary) + ids.astype(np.uint64)):
+                yield blobs(done)
         if done := merger.flush():
             yield blobs(done)
 
@@ -432,16 +453,15 @@ def train(texts: DataFrame) -> NgramModel:
         def blobs(done):
             return _blobs(*done, model.triple_piece((done[0] // np.uint64(vocabulary)).astype(np.int64)))
 
-        for batch in batches:
-            for _, _, found, ends in _sequences(batch.column(0)):
-                ids, counts, before = one.look_up(found)
-                start = np.concatenate([[0], ends[:-1] + 1])
-                pair, _ = model.pair_scores(one, ids, counts, before, start, np.zeros(len(ids)))
-                inner = np.ones(len(ids), bool)
-                inner[start] = False
-                at = np.flatnonzero(inner)
-                if done := merger.add(pair[at - 1].astype(np.uint64) * np.uint64(vocabulary) + ids[at].astype(np.uint64)):
-                    yield blobs(done)
+        for _, found, ends in _runs(batches):
+            ids, counts, before = one.look_up(found)
+            start = np.concatenate([[0], ends[:-1] + 1])
+            pair, _ = model.pair_scores(one, ids, counts, before, start, np.zeros(len(ids)))
+            inner = np.ones(len(ids), bool)
+            inner[start] = False
+            at = np.flatnonzero(inner)
+            if done := merger.add(pair[at - 1].astype(np.uint64) * np.uint64(vocabulary) + ids[at].astype(np.uint64)):
+                yield blobs(done)
         if done := merger.flush():
             yield blobs(done)
 
@@ -470,13 +490,12 @@ def score_texts(docs: DataFrame, model: NgramModel, keep: list[str]) -> DataFram
     k = len(keep)
 
     def run(batches):
-        for batch in batches:
-            for i, j, tokens, ends in _sequences(batch.column(0)):
-                s = model.score(tokens, ends)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c + 1).slice(i, j - i) for c in range(k)), pa.array(s["n_tokens"]), pa.array(s["n_known"]),
-                     pa.array(np.full(j - i, model.level1().tokens)), pa.array(s["base_score"]), pa.array(s["score"])],
-                    [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for parts, tokens, ends in _runs(batches):
+            s = model.score(tokens, ends)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.concat_arrays([part.column(c) for part in parts]) for c in range(k)), pa.array(s["n_tokens"]), pa.array(s["n_known"]),
+                 pa.array(np.full(len(ends), model.level1().tokens)), pa.array(s["base_score"]), pa.array(s["score"])],
+                [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     return rows.mapInArrow(run, f"{kinds}n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -275,6 +275,19 @@ def test_model_of_nothing(spark, docs):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) == (3, 0, 0, 0.0)
 
 
+def test_runs_go_over_batches(monkeypatch):
+    """Texts of many batches are looked up together, so searches of the pieces don't grow with the batches."""
+    monkeypatch.setattr(ngram_lm, "RUN_TOKENS", 100)
+    texts = ["a b c", None, "", "d e"] * 20 + ["x " * 300] + ["f g"] * 5
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i:i + 2], pa.string()), "id": list(range(len(texts)))[i:i + 2]}) for i in range(0, len(texts), 2)]
+    runs = list(ngram_lm._runs(batches))
+    assert len(runs) == 3  # the second ends with the long text
+    assert [k for parts, _, _ in runs for part in parts for k in part.column(0).to_pylist()] == list(range(len(texts)))
+    counts = [n for _, _, ends in runs for n in np.diff(ends, prepend=-1).tolist()]
+    assert counts == [len((t or "").split()) + 1 for t in texts]
+    assert all((tokens[ends] == ngram_lm.END).all() and len(tokens) == ends[-1] + 1 for _, tokens, ends in runs)
+
+
 def test_word_hashes_follow_words():
     column = pa.array(ODD, pa.string())
     found = []
