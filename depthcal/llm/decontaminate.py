@@ -65,32 +65,44 @@ def embed(symbols: np.ndarray, walk: int, starts: np.ndarray, last: np.ndarray,
     return out
 
 
-def embed_all(symbols: np.ndarray, walk: int, steps: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def embed_all(symbols: np.ndarray, walk: int, steps: list[int], grouped: set[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """(first starts, emitted words, group of each start) of the groups of starts at each of the ascending steps, walking
-    from every place.
+    from every place. Groups of starts are numbered at the steps ``grouped`` only, by default at all.
 
     A move is 0 or 1 and depends on the step and the word alone, so walks never pass each other, and those that meet stay
-    together: a group is a run of neighbouring starts. The last symbol stands for the end.
+    together: a group is a run of neighbouring starts. Walks meet ever more rarely, so groups are joined ever more rarely;
+    neighbouring groups may stand on one place. The last symbol stands for the end.
     """
     n = len(symbols)
-    at = first = np.arange(n, dtype=np.int32)
-    out = []
+    at, first = np.arange(n), np.arange(n, dtype=np.int32)
+    out, due = [], 1
     for j in range(steps[-1] + 1):
         if j % 64 == 0:
             bits = _bits(symbols, walk, j // 64)
+        if j % 8 == 0:
+            moves = (bits >> np.uint64(j % 64)).astype(np.uint8)
         if j == steps[len(out)]:
-            begins = np.zeros(n, np.int8)
-            begins[first[1:]] = 1
-            out.append((first, symbols[at], np.cumsum(begins, dtype=np.int32)))
+            group = None
+            if grouped is None or j in grouped:
+                begins = np.zeros(n, np.int8)
+                begins[first[1:]] = 1
+                group = np.cumsum(begins, dtype=np.int32)
+            out.append((first, symbols[at], group))
             if len(out) == len(steps):
                 return out
-        at = at + ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int32)
+        move = moves[at]
+        move >>= np.uint8(j % 8)
+        move &= np.uint8(1)
+        at += move
         if at[-1] == n:
             at[at == n] = n - 1
-        apart = np.empty(len(at), bool)
-        apart[0] = True
-        np.not_equal(at[1:], at[:-1], out=apart[1:])
-        at, first = at[apart], first[apart]
+        if j + 1 >= due:
+            due = j + 2 + (j + 1) // 6
+            apart = np.empty(len(at), bool)
+            apart[0] = True
+            np.not_equal(at[1:], at[:-1], out=apart[1:])
+            apart = np.flatnonzero(apart)
+            at, first = at[apart], first[apart]
     return out
 
 
@@ -268,7 +280,7 @@ class Benchmark:
         symbols, met = np.append(hashes, np.uint64(0)), []
         for walk, tables in enumerate(self.walks):
             steps = sorted({j for t in tables for j in t.steps})
-            groups = dict(zip(steps, embed_all(symbols, walk, steps), strict=True))
+            groups = dict(zip(steps, embed_all(symbols, walk, steps, {j for t in tables for j in t.steps[1:]}), strict=True))
             for t in tables:
                 first, word, _ = groups[t.steps[0]]
                 parts = [word, *(later[group[first]] for _, later, group in (groups[j] for j in t.steps[1:]))]

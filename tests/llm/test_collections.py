@@ -315,3 +315,16 @@ def test_pipeline_stages_take_odd_documents(spark, docs):
             assert stage(spark, table, "/root/testdata/sf0.001").columns == table.columns
             stage(spark, table, "/root/testdata/sf0.001").collect()
         pipeline.STAGES[-1][1](spark, table, "/root/testdata/sf0.001").collect()
+
+
+def test_walks_of_all_places_equal_single_ones():
+    """Groups are joined ever more rarely and numbered where they are asked for; the emitted words are those of single walks."""
+    words = np.random.default_rng(5).integers(0, 40, 600).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    steps = [0, 1, 7, 8, 9, 40, 63, 64, 65, 130]
+    n = len(words)
+    want = decontaminate.embed(words, 1, np.arange(n), np.full(n, n - 1), steps)
+    found = decontaminate.embed_all(words, 1, steps, {8, 40, 130})
+    for step, emitted, (first, word, group) in zip(steps, want, found, strict=True):
+        assert (np.repeat(word, np.diff(np.append(first, n))) == emitted).all()
+        assert (group is None) == (step not in {8, 40, 130})
+        assert group is None or (word[group] == emitted).all()
