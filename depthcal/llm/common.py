@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,33 @@ def rename_uri(source: str, target: str) -> None:
     store.move(path, fs.FileSystem.from_uri(target)[1])
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def lean(run):
+    """``run(batches)`` for a worker that gives back what it has freed when its task ends: workers are kept for later tasks and
+    stages, beside whose memory theirs counts."""
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return go
+
+
+def text_column(docs: DataFrame) -> int | None:
+    """The place of the column text where it is a string already, so that whole texts needn't go to a worker twice."""
+    at = [i for i, f in enumerate(docs.schema.fields) if f.name == "text" and f.dataType.typeName() == "string"]
+    return at[0] if len(at) == 1 else None
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and pass it to ``body``.
 

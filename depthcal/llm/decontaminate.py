@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table
+from .common import lean, materialize, new_path, table, text_column
 from .hashing import distinct, mix, text_chunks, word_hashes
 from .stored import load, publish
 
@@ -359,23 +359,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> D
                 columns = [[ids[t] for t, _ in best], [k for _, k in best], *([v[c] for v in best.values()] for c in range(3))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "edit_distance", "first_word", "n_words"])
 
-    return rows.mapInArrow(run, "doc_id long, item_id long, edit_distance long, first_word long, n_words long")
+    return rows.mapInArrow(lean(run), "doc_id long, item_id long, edit_distance long, first_word long, n_words long")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """The rows of ``docs`` without a match, with all their columns."""
-    paths, schema, k = write_benchmark(benchmark, edits), docs.schema, len(docs.columns)
+    paths, schema, k, text = write_benchmark(benchmark, edits), docs.schema, len(docs.columns), text_column(docs)
+    rows = docs if text is not None else docs.select(*docs.columns, F.col("text").cast("string").alias("__text"))
+    text = k if text is None else text
 
     def run(batches):
         for batch in batches:
-            for i, j, data, bounds in text_chunks(batch.column(k)):
+            for i, j, data, bounds in text_chunks(batch.column(text)):
                 clean, words = np.ones(j - i, bool), word_hashes(data, bounds)
                 for path in paths:
                     clean[[t for t, *_ in _block(path).search(*words)]] = False
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(part.columns[:k], part.schema.names[:k]).filter(pa.array(clean))
 
-    return docs.select(*docs.columns, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_ids, materialize, pick, table
+from .common import broadcast_ids, lean, materialize, pick, table
 from .hashing import mix, shingle_sets, text_chunks, word_hashes
 
 SHINGLE = 5
@@ -166,7 +166,7 @@ def _rare_pairs(docs: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     each, in any one order of all shingles, and at their first common one enough must be left in both. With the rarest
     first, members of a large group that differ in many places meet nobody. The bounds are exact: no link is lost.
     """
-    rows = pick(docs, open_.select("id").distinct()).select("doc_id", "text").mapInArrow(_shingle_rows, "id long, mark long, n long, s long")
+    rows = pick(docs, open_.select("id").distinct()).select("doc_id", "text").mapInArrow(lean(_shingle_rows), "id long, mark long, n long, s long")
     rows = materialize(rows, "near-shingles")
     common = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
     met = rows.join(common, "s")
@@ -206,7 +206,7 @@ def _link_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: in
     likely = both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_likely(percent / 100 - MARGIN), "a long, b long")
     likely = materialize(likely, f"{name}-likely")
     wanted = materialize(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct(), f"{name}-wanted")
-    sets = materialize(pick(docs, wanted).select("doc_id", "text").mapInArrow(_sets, "id long, set binary"), f"{name}-sets")
+    sets = materialize(pick(docs, wanted).select("doc_id", "text").mapInArrow(lean(_sets), "id long, set binary"), f"{name}-sets")
     full = likely.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
     return materialize(full.mapInArrow(_confirm(percent), "a long, b long"), f"{name}-links")
 
@@ -222,14 +222,14 @@ def _same_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; linked where 100 * shared >= percent * union."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(docs.mapInArrow(_features, "doc_id long, n long, h1 long, h2 long, sig binary"), "near-rows")
+    rows = materialize(docs.mapInArrow(lean(_features), "doc_id long, n long, h1 long, h2 long, sig binary"), "near-rows")
     filled = rows.where("n > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "near-classes")
     reps = filled.join(classes.select("h1", "h2", F.col("n").alias("m"), "rep"),
                        ["h1", "h2"]).where("n = m and doc_id = rep").select(F.col("doc_id").alias("id"), "n", "sig")
     nodes = materialize(reps.dropDuplicates(["id", "n", "sig"]), "near-nodes")
 
-    bands = materialize(nodes.select("id", "sig").mapInArrow(_band_rows, "id long, key long"), "near-bands")
+    bands = materialize(nodes.select("id", "sig").mapInArrow(lean(_band_rows), "id long, key long"), "near-bands")
     sizes = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = bands.join(sizes, "key")
     shared = materialize(shared.select("key", "id", "c"), "near-shared")

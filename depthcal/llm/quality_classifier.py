@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import lean, materialize, table, text_column
 from .hashing import text_chunks
 from .linear import BUCKETS, calibrate, count_matrix, fit_logistic, scale_of, sigmoid, sum_weights
 
@@ -153,17 +153,20 @@ _COLUMNS = ["text", "source", "lang", "n_chars"]
 _SHAPED = [f"__{c}" for c in _COLUMNS]
 
 
-def _views(batch, at: int):
-    """(row range, data, bounds, metadata) of the chunks of a batch whose text columns begin at ``at``."""
-    for i, j, data, bounds in text_chunks(batch.column(at)):
+def _views(batch, at: int, text: int | None = None):
+    """(row range, data, bounds, metadata) of the chunks of a batch whose text columns begin at ``at``; the text may lie at
+    ``text``."""
+    for i, j, data, bounds in text_chunks(batch.column(at if text is None else text)):
         rest = [batch.column(at + k).slice(i, j - i).to_pylist() for k in (1, 2, 3)]
         yield i, j, data, bounds, metadata(data, bounds, *rest)
 
 
-def _shape(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _shape(docs: DataFrame, keep: list[str], again: bool = True) -> DataFrame:
+    """The columns ``keep`` and those of the views, without the text if it isn't wanted ``again``."""
     missing = {c: F.lit(None) for c in _COLUMNS if c not in docs.columns}
     docs = docs.withColumns(missing) if missing else docs
-    return docs.select(*keep, F.col("text").cast("string").alias("__text"), F.col("source").cast("string").alias("__source"),
+    text = F.col("text") if again else F.lit(None)
+    return docs.select(*keep, text.cast("string").alias("__text"), F.col("source").cast("string").alias("__source"),
                        F.col("lang").cast("string").alias("__lang"), F.col("n_chars").cast("double").alias("__n_chars"))
 
 
@@ -183,7 +186,7 @@ def _features(docs: DataFrame, ids: list[int]) -> list:
                      pa.array([np.flatnonzero(v > 0).astype(np.uint16).tobytes() for v in x], pa.binary()),
                      pa.array([v.tobytes() for v in meta], pa.binary())], ["doc_id", "v", "i", "m"])
 
-    return sorted(own.mapInArrow(features, "doc_id long, v binary, i binary, m binary").collect(), key=lambda r: r["doc_id"])
+    return sorted(own.mapInArrow(lean(features), "doc_id long, v binary, i binary, m binary").collect(), key=lambda r: r["doc_id"])
 
 
 def _surest(docs: DataFrame, labelled: DataFrame, model: QualityModel, wanted: list) -> list[list[int]]:
@@ -199,7 +202,7 @@ def _surest(docs: DataFrame, labelled: DataFrame, model: QualityModel, wanted: l
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
                                                   *(pa.array(np.asarray(m, np.float64)) for m in held.margins(data, bounds, meta))], ["doc_id", "h", "m0", "m1"])
 
-    scored = rows.mapInArrow(run, "doc_id long, h long, m0 double, m1 double").groupBy("doc_id").agg(F.min(F.struct("h", "m0", "m1")).alias("r"))
+    scored = rows.mapInArrow(lean(run), "doc_id long, h long, m0 double, m1 double").groupBy("doc_id").agg(F.min(F.struct("h", "m0", "m1")).alias("r"))
     scored = materialize(scored.select("doc_id", "r.m0", "r.m1").join(labelled, "doc_id", "left_anti"), "margins")
     least = float(np.log(SURE / (1 - SURE)))
     out = []
@@ -240,22 +243,23 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str]) -> Data
                                                  [*keep, "quality_score", "kept"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:k])
-    return rows.mapInArrow(run, f"{kinds}quality_score double, kept boolean")
+    return rows.mapInArrow(lean(run), f"{kinds}quality_score double, kept boolean")
 
 
 def filter_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows of ``docs`` that the model keeps, with all their columns."""
     k = len(docs.columns)
-    rows = _shape(docs, docs.columns)
+    text = text_column(docs)
+    rows = _shape(docs, docs.columns, again=text is None)
 
     def run(batches):
         for batch in batches:
-            for i, j, data, bounds, meta in _views(batch, k):
+            for i, j, data, bounds, meta in _views(batch, k, text):
                 kept = pa.array(model.score(data, bounds, meta) >= KEEP)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(part.columns[:k], part.schema.names[:k]).filter(kept)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -328,3 +328,19 @@ def test_walks_of_all_places_equal_single_ones():
         assert (np.repeat(word, np.diff(np.append(first, n))) == emitted).all()
         assert (group is None) == (step not in {8, 40, 130})
         assert group is None or (word[group] == emitted).all()
+
+
+def test_stages_give_memory_back_and_read_texts_once(spark, docs, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.lean(lambda batches: (b + 1 for b in batches))([1, 2])) == [2, 3] and calls == [1]
+    df = docs(["a b", None])
+    assert common.text_column(df) == df.columns.index("text")
+    assert common.text_column(df.select("doc_id", df.text.cast("binary").alias("text"))) is None
+    bench = spark.createDataFrame([(1, "p q r s t u v w x y z a b")], "item_id long, text string")
+    rows = docs(["k l " + "p q r s t u v w x y z a b" + " m", "clean words", None])
+    kept = decontaminate.drop_leaks(rows, bench)
+    assert "__text" not in kept._jdf.queryExecution().toString()  # whole texts went to a worker twice
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2] and kept.columns == rows.columns
+    as_bytes = rows.withColumn("text", rows.text.cast("binary"))
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(as_bytes, bench).collect()) == [1, 2]
