@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, new_path, table
+from .common import let, new_path, relieve, table
 from .stored import load_cached, publish
 
 #: Text bytes for each piece of the word table. Its distinct words are far fewer; the number sets the pieces' size only.
@@ -251,6 +251,7 @@ class ByteBpe:
         """
         keep = docs.columns if keep is None else keep
         folder, bits, seed = self.write_words(docs.select(F.col(text).cast("string").alias("text")))
+        relieve(docs.sparkSession, garbage=True)  # plans with the rank map have been compiled and sent
         words = F.transform(self.split(docs.sparkSession, F.col(text)), lambda w: _hash(w, seed))
         rows = docs.select(*(F.col(f"`{c}`") for c in keep), words.alias("__hashes"))
         more = {ids: F.array().cast("array<int>")} | ({data: F.lit(b""), raw: F.lit(b"")} if data else {})

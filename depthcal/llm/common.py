@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    relieve(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -113,6 +115,23 @@ def give_back() -> None:
         pass
 
 
+def relieve(spark: SparkSession, garbage: bool = False) -> str | None:
+    """Return freed memory of the driver to the system, of this process and of the Java runtime, which takes and frees much while it
+    plans and compiles; with ``garbage`` its heap is collected before. Returns what the runtime says, if it has that command."""
+    give_back()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    if garbage:
+        jvm.System.gc()
+    args = new(jvm.java.lang.Object, 4)
+    try:
+        # The server's own class is closed to calls from here, its interface isn't.
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # another runtime
+        return None
+
+
 def lean(run):
     """``run(batches)`` for a worker that gives back what it has freed when its task ends: workers are kept for later tasks and
     stages, beside whose memory theirs counts."""

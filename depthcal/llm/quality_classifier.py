@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, table, text_column
+from .common import lean, materialize, relieve, table, text_column
 from .hashing import text_chunks
 from .linear import BUCKETS, calibrate, count_matrix, fit_logistic, scale_of, sigmoid, sum_weights
 
@@ -186,7 +186,9 @@ def _features(docs: DataFrame, ids: list[int]) -> list:
                      pa.array([np.flatnonzero(v > 0).astype(np.uint16).tobytes() for v in x], pa.binary()),
                      pa.array([v.tobytes() for v in meta], pa.binary())], ["doc_id", "v", "i", "m"])
 
-    return sorted(own.mapInArrow(lean(features), "doc_id long, v binary, i binary, m binary").collect(), key=lambda r: r["doc_id"])
+    found = sorted(own.mapInArrow(lean(features), "doc_id long, v binary, i binary, m binary").collect(), key=lambda r: r["doc_id"])
+    relieve(docs.sparkSession, garbage=True)  # collected rows lay in the Java runtime, too
+    return found
 
 
 def _surest(docs: DataFrame, labelled: DataFrame, model: QualityModel, wanted: list) -> list[list[int]]:
@@ -227,7 +229,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, un
     others = [r for r in found if y[r["doc_id"]] is None]
     del found
     signs = [1 if y[r["doc_id"]] else -1 for r in known]
-    return QualityModel(known, others, signs, lambda model, wanted: _surest(docs, ids.select("doc_id"), model, wanted), lambda new: _features(docs, new))
+    model = QualityModel(known, others, signs, lambda model, wanted: _surest(docs, ids.select("doc_id"), model, wanted), lambda new: _features(docs, new))
+    del known, others
+    relieve(docs.sparkSession, garbage=True)
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from depthcal.llm import common, decontaminate, near_dedup, sharding, warc
+from depthcal.llm import byte_bpe, common, decontaminate, near_dedup, quality_classifier, sharding, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -317,6 +317,20 @@ def test_pipeline_stages_take_odd_documents(spark, docs):
         pipeline.STAGES[-1][1](spark, table, "/root/testdata/sf0.001").collect()
 
 
+def test_driver_gives_memory_back(spark, docs, monkeypatch):
+    """The Java runtime trims its native memory with each intermediate table, and its heap where plans or rows were large."""
+    assert "rim native heap" in common.relieve(spark) and "rim native heap" in common.relieve(spark, garbage=True)
+    calls, real = [], common.relieve
+    for module in (common, byte_bpe, quality_classifier):
+        monkeypatch.setattr(module, "relieve", lambda spark, garbage=False: calls.append(garbage) or real(spark, garbage))
+    rows = docs([" ".join(words(1, 50))])
+    assert common.materialize(rows, "given-back").count() == 1 and calls == [False]
+    byte_bpe.production().encode(rows)
+    assert calls[1:] == [True]
+    quality_classifier.fit_quality(rows, spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
+    assert calls[2:] == [True, True]
+
+
 def test_walks_of_all_places_equal_single_ones():
     """Groups are joined ever more rarely and numbered where they are asked for; the emitted words are those of single walks."""
     words = np.random.default_rng(5).integers(0, 40, 600).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
